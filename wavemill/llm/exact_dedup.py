@@ -40,6 +40,8 @@ def _disk_state(spark: SparkSession):
         "spark.sql.streaming.stateStore.providerClass": STATE,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # Else each store reserves megabytes of disk, however little state it holds.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
