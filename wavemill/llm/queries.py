@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import exact_dedup, minhash, mixing, sharding
+from wavemill.llm import bpe, bytecnn, exact_dedup, minhash, mixing, sharding
 from wavemill.plans.runtime import ship, table
 
 
@@ -88,6 +88,34 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def vocabulary() -> str:
+    """Where the public byte-level BPE vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()))
+
+
+def id_remainder(key: Column, n: int) -> Column:
+    """crc32 of an id as text, modulo ``n``."""
+    return F.pmod(F.crc32(key.cast("string")), F.lit(n))
+
+
+def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> bytecnn.Network:
+    return bytecnn.fit(docs, table(spark, sf_dir, "labels"), lambda key: id_remainder(key, 4) != 2)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = bytecnn.score(docs, quality_network(spark, docs, sf_dir))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_rows(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -115,6 +143,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op3_minhash": op3_minhash,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
         "op10_sharding": op10_sharding,
     }
     return {name: _shipped(query) for name, query in named.items()}
