@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, bytecnn, exact_dedup, minhash, mixing, sharding
+from wavemill.llm import bpe, bytecnn, exact_dedup, licenses, minhash, mixing, sharding, toxicity
 from wavemill.plans.runtime import ship, table
 
 
@@ -51,6 +51,49 @@ FROM placed
 """
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: ~m["template"])
+    first = F.transform("base", lambda m: m["first_word"])
+    score = F.when(F.exists("matches", lambda m: m["template"]), 1.0).when(F.size("matches") > 0, 0.5).otherwise(0.0)
+    return found.withColumn("base", base).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        licenses.joined(F.col("base")).alias("base_labels"),
+        licenses.joined(F.col("matches")).alias("labels"),
+        score.alias("score"),
+    )
+
+
+def _op2_sql() -> str:
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM placed WHERE array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}'"
+        for p, label in licenses.PHRASES.items()
+    )
+    templates = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label FROM worded WHERE regexp_matches(' ' || array_to_string(w, ' '), '{licenses.as_pattern(t)}')"
+        for label, t in licenses.TEMPLATES.items()
+    )
+    return rf"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM worded WHERE array_to_string(w, ' ') LIKE '%license%'),
+base AS ({phrases}),
+bases AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
+templates AS ({templates}),
+alls AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(s) AS score
+  FROM (SELECT doc_id, label, 0.5::DOUBLE AS s FROM base UNION ALL SELECT doc_id, label, 1.0::DOUBLE FROM templates) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, coalesce(a.score, 0.0::DOUBLE) AS score
+FROM worded d LEFT JOIN bases b ON b.doc_id = d.doc_id LEFT JOIN alls a ON a.doc_id = d.doc_id
+"""
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -88,6 +131,14 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda key: id_remainder(key, 5) != 0)
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = toxicity.score(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def vocabulary() -> str:
     """Where the public byte-level BPE vocabulary lies."""
     import public_tokenizers
@@ -141,8 +192,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {
         "op1_mixing": op1_mixing,
+        "op2_licenses": op2_licenses,
         "op3_minhash": op3_minhash,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_sharding": op10_sharding,
@@ -151,4 +204,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_minhash": OP3, "op6_exact_dedup": OP6}
+    return {"op1_mixing": OP1, "op2_licenses": _op2_sql(), "op3_minhash": OP3, "op6_exact_dedup": OP6}
