@@ -10,12 +10,13 @@ Four bins make a band. At similarity 0.75 one of 32 bands agrees but for
 
 Texts with equal shingle sets are one class, found by digest, so groups of exact
 copies of any size count once. Documents that share a band value make a bucket.
-Candidate edges in a bucket are a star around one member. Every candidate is
-confirmed on its full shingle sets. While a bucket holds members that its links so far
-leave in different components, another star is drawn there around the least
-member outside its largest component not yet a centre, until there is none. So each bucket of m members costs about m
-edges, not m^2, and no pair of a bucket that could still join two components goes
-unseen. Components come from alternating large and small stars over the links.
+Candidate edges in a bucket are a star around its least member, m - 1 for m members. Every
+candidate is confirmed on its full shingle sets. A star can miss a link between two
+members that are both unlike the centre; so buckets whose members the links leave in
+different components are solved once more, exactly: cut into blocks of bounded size, whose
+full sets are compared block against block inside a task, which gives out a spanning
+forest of the links between components and never the pairs. So no pair of a bucket that could still
+join two components goes unseen. Components come from alternating large and small stars over the links.
 
 Defined cases: null and blank texts have no shingles and stay alone; with fewer than
 five words the whole sequence is the one shingle; rows with equal ids are one
@@ -43,6 +44,8 @@ BANDS = BINS // ROWS
 PERCENT = 75
 #: Ids up to this many go to every executor (8 bytes each) to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: A block of a bucket solved locally has about this many members and shingles; shingles are compared so many at a time.
+BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 400, 150_000, 8192
 U = np.uint64
 _SHIFT = U(64 - BINS.bit_length() + 1)
 with np.errstate(over="ignore"):
@@ -142,14 +145,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str =
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """bucket, rep: members of the band buckets that hold more than one class."""
-    each = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    """bucket, rep, n: members of the band buckets that hold more than one class."""
+    each = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     return each.join(shared, "bucket")
 
 
 def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) whose full sets are similar enough; sizes rule out most others before sets are joined."""
+    """The edges (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = edges.join(right, "b").join(left, "a")
@@ -157,6 +160,76 @@ def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """Candidate edges: each member of a bucket with its least, unless their sizes alone rule it out."""
+    centre = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"))
+    edges = members.join(centre, "bucket").where(
+        (F.col("rep") > F.col("c.rep"))
+        & (100 * F.least("n", F.col("c.n")) >= PERCENT * F.greatest("n", F.col("c.n")))
+    )
+    return edges.select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def blocks(members: DataFrame, label: DataFrame) -> DataFrame:
+    """bucket, low, high, side, rep, component: what is left to solve locally.
+
+    A bucket whose members have come to be one component is done. Any other is cut into blocks of
+    bounded size; each pair of blocks, and each block by itself, is one local problem.
+    """
+    named = members.join(label, members["rep"] == label["node"], "left").select(
+        "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
+    )
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), size.alias("k"))
+    rows = named.join(open_.where("a < b").select("bucket", "k"), "bucket")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    rows = rows.select("bucket", "rep", "component", "own", other)
+    return rows.select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "component"
+    )
+
+
+def _solve(table: pa.Table) -> pa.Table:
+    """Links between different components of one local problem, as a spanning forest."""
+    own, low, high = (table[c].to_numpy() for c in ("own", "low", "high"))
+    sets = table["shingles"].combine_chunks()
+    reps, component = table["rep"].to_numpy(), table["component"].to_numpy()
+    rows, length = len(reps), np.diff(sets.offsets.to_numpy())
+    values, column, count = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(rows), length)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left = np.flatnonzero(own == low[0])
+    right = left if low[0] == high[0] else np.flatnonzero(own == high[0])
+    common = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(number[-1]) + 1 if rows else 0, COLUMNS):
+        i, j = np.searchsorted(column, [begin, begin + COLUMNS])
+        has = np.zeros((rows, COLUMNS), np.float32)
+        has[owner[i:j], column[i:j] - begin] = 1
+        common += has[left] @ has[right].T
+    union = length[left][:, None] + length[right][None, :] - common
+    x, y = np.nonzero((100 * common >= PERCENT * union) & (component[left][:, None] != component[right][None, :]))
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    for i, j in zip(left[x], right[y]):
+        p, q = root(component[i]), root(component[j])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            found.append((reps[i], reps[j]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least reachable node) of every node in ``links`` (a, b), by alternating large and small stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -178,44 +251,23 @@ def components(links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """node, component of all classes that a confirmed link joins."""
-    spark = docs.sparkSession
     members = cut(members, "near-members")
     sets = cut(full_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), key, text), "near-sets")
-    found = spark.createDataFrame([], "a bigint, b bigint")
-    tested = spark.createDataFrame([], "a bigint, b bigint")
-    done = spark.createDataFrame([], "bucket bigint, rep bigint")
-    label = spark.createDataFrame([], "node bigint, component bigint")
-    while True:
-        named = members.join(label, members["rep"] == label["node"], "left").select(
-            "bucket", "rep", F.coalesce("component", "rep").alias("component")
-        )
-        # Every pair across components has a side outside the bucket's largest component, so only those need be centres.
-        counted = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        main = counted.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k"))
-        main = main.where("k > 1").select("bucket", F.col("m.component").alias("main"))
-        left = named.join(done, ["bucket", "rep"], "left_anti").join(main, "bucket").where("component <> main")
-        centre = left.groupBy("bucket").agg(F.min(F.struct("rep", "component")).alias("c"))
-        centre = cut(centre.select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("own")), "near-centres")
-        if centre.isEmpty():
-            return label
-        done = cut(done.unionByName(centre.select("bucket", F.col("centre").alias("rep"))), "near-done")
-        star = named.join(centre, "bucket").where("component <> own")
-        star = star.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-        star = cut(star.join(tested, ["a", "b"], "left_anti"), "near-star")
-        tested = tested.unionByName(star)
-        fresh = cut(confirm(star, sets), "near-links")
-        if fresh.isEmpty():
-            continue
-        found = found.unionByName(fresh)
-        label = cut(components(found), "near-components")
+    found = cut(confirm(cut(stars(members), "near-stars"), sets), "near-links")
+    label = cut(components(found), "near-components")
+    rest = blocks(members, label).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    more = rest.groupBy("bucket", "low", "high").applyInArrow(_solve, "a bigint, b bigint")
+    return components(found.unionByName(cut(more, "near-rest")))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     sig = cut(signatures(docs, key, text), "near-signatures")
-    least = F.min(F.struct(F.col("doc_id"), F.col("bands"))).alias("m")
+    least = F.min(F.struct("doc_id", "bands", "n_shingles")).alias("m")
     known = sig.where("digest is not null and doc_id is not null")
-    classes = known.groupBy("digest").agg(least).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
+    classes = known.groupBy("digest").agg(least).select(
+        "digest", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"), F.col("m.n_shingles").alias("n")
+    )
     classes = cut(classes, "near-classes")
     label = links(docs, buckets(classes), key, text)
     named = classes.select("digest", "rep").join(label, F.col("rep") == F.col("node"), "left")
