@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, bytecnn, exact_dedup, licenses, minhash, mixing, sharding, toxicity
+from wavemill.llm import bpe, bytecnn, exact_dedup, knn, licenses, minhash, mixing, sharding, toxicity
 from wavemill.plans.runtime import ship, table
 
 
@@ -118,6 +118,21 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_id l O
 """
 
 
+def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.knn(table(spark, sf_dir, "embeddings"), knn.divisible(50))
+
+
+OP5 = """
+WITH parts AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS i, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM embeddings),
+scores AS (
+  SELECT q.vec_id AS query_id, d.vec_id, sum(q.x * d.x)::BIGINT AS score
+  FROM parts q JOIN parts d ON q.i = d.i AND q.vec_id <> d.vec_id AND q.vec_id % 50 = 0 GROUP BY q.vec_id, d.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
@@ -194,6 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_licenses": op2_licenses,
         "op3_minhash": op3_minhash,
+        "op5_knn": op5_knn,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_bpe": op8_bpe,
@@ -204,4 +220,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_licenses": _op2_sql(), "op3_minhash": OP3, "op6_exact_dedup": OP6}
+    return {"op1_mixing": OP1, "op2_licenses": _op2_sql(), "op3_minhash": OP3, "op5_knn": OP5, "op6_exact_dedup": OP6}
