@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, bytecnn, exact_dedup, knn, licenses, minhash, mixing, sharding, toxicity
+from wavemill.llm import bpe, bytecnn, exact_dedup, knn, licenses, minhash, mixing, sharding, suffixes, toxicity
 from wavemill.plans.runtime import ship, table
 
 
@@ -118,6 +118,12 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_id l O
 """
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn(table(spark, sf_dir, "embeddings"), knn.divisible(50))
 
@@ -209,6 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_licenses": op2_licenses,
         "op3_minhash": op3_minhash,
+        "op4_suffixes": op4_suffixes,
         "op5_knn": op5_knn,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_toxicity": op7_toxicity,
