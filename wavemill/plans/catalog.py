@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import coupling as C
 from wavemill.functions import numeric as N
-from wavemill.operators import floors, framing, schedule, spectral
+from wavemill.operators import container, entropy, floors, framing, quality, schedule, spectral
 from wavemill.plans.runtime import ship, table
 from wavemill.sources import adapters as A
 
@@ -424,3 +424,173 @@ SELECT o_orderkey, u::BIGINT AS entry FROM d WHERE k = 1""")
 def q32_nearest_used(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select("o_orderkey").distinct()
     return keys.withColumn("entry", floors.nearest_used(F.pmod("o_orderkey", F.lit(97)), [3, 8, 21, 34, 55, 89]))
+
+
+# Entropy and containers --------------------------------------------------------------------------
+
+LENGTHS = entropy.balanced_lengths(4096)
+
+
+@query(f"""WITH {MONO}, words AS (SELECT idx, part // 4 AS word, sum(cls * pow(8, 3 - part % 4))::BIGINT AS w FROM classed GROUP BY idx, part // 4)
+SELECT idx, sum(CASE WHEN w < {LENGTHS.count(min(LENGTHS)) if min(LENGTHS) < max(LENGTHS) else 0} THEN {min(LENGTHS)} ELSE {max(LENGTHS)} END)::BIGINT AS bits,
+ceil(sum(CASE WHEN w < {LENGTHS.count(min(LENGTHS)) if min(LENGTHS) < max(LENGTHS) else 0} THEN {min(LENGTHS)} ELSE {max(LENGTHS)} END) / 8.0)::BIGINT AS bytes FROM words GROUP BY idx""")
+def q33_bit_cost(spark, sf_dir):
+    words = floors.class_word(_classes(spark, sf_dir), ("idx",), 8, 4)
+    return entropy.bit_cost(words, LENGTHS, ("idx",), "cls_word")
+
+
+@query(f"""WITH {SPEC}, low AS (SELECT idx, bin // 8 AS slot, min(coeff) AS m FROM spec GROUP BY idx, bin // 8),
+wide AS (SELECT idx, slot * 8 + unnest(range(8)) AS bin, m FROM low)
+SELECT idx, bin, m AS least FROM wide""")
+def q34_reduce_repeat(spark, sf_dir):
+    low = A.spectrum(spark, sf_dir).groupBy("idx", F.floor(F.col("bin") / 8).alias("slot")).agg(F.min("coeff").alias("least"))
+    wide = low.withColumn("bin", F.explode(F.sequence(F.col("slot") * 8, F.col("slot") * 8 + 7)))
+    return wide.select("idx", "bin", "least")
+
+
+ACCOUNT = f"""{PACKETS}, numbered AS (SELECT *, seq > min(seq) OVER (PARTITION BY stream) AS audio, CASE WHEN mode = 1 THEN 2048 ELSE 256 END AS bs FROM packets),
+stepped AS (SELECT *, CASE WHEN audio THEN (bs + lag(bs) OVER (PARTITION BY stream, audio ORDER BY seq)) // 4 END AS step FROM numbered),
+sums AS (SELECT stream, sum(size + 2)::BIGINT AS data_size, max(CASE WHEN NOT audio THEN size END) + 2 AS first_audio_offset,
+max(CASE WHEN audio THEN size END) AS max_packet, coalesce(sum(step), 0)::BIGINT AS rendered,
+sum((audio AND mode = 0)::INT)::BIGINT AS short_blocks, sum((audio AND mode = 1)::INT)::BIGINT AS long_blocks FROM stepped GROUP BY stream),
+account AS (SELECT *, greatest(rendered - 128, 1) AS frames FROM sums)"""
+
+
+def _accounts(spark, sf_dir):
+    frames = F.greatest(F.col("rendered") - 128, F.lit(1))
+    return container.accounting(A.packets(spark, sf_dir), 48000, frames)
+
+
+@query(f"""WITH {ACCOUNT} SELECT stream, data_size, first_audio_offset, max_packet, rendered, frames, greatest(0, rendered - frames) AS excess,
+(data_size * 48000 // frames)::BIGINT AS average_bytes FROM account""")
+def q35_packet_accounting(spark, sf_dir):
+    return _accounts(spark, sf_dir).drop("short_blocks", "long_blocks")
+
+
+@query(f"WITH {ACCOUNT} SELECT stream, frames, short_blocks, long_blocks, short_blocks + long_blocks AS blocks FROM account")
+def q36_encode_stats(spark, sf_dir):
+    a = _accounts(spark, sf_dir)
+    return a.select("stream", "frames", "short_blocks", "long_blocks", (F.col("short_blocks") + F.col("long_blocks")).alias("blocks"))
+
+
+def _le(e: str, size: int) -> str:
+    return " || ".join(f"lpad(hex((({e}) // {256**k}) % 256), 2, '0')" for k in range(size))
+
+
+HEADER_VALUES = {
+    "format_tag": "65535", "channels": "2", "sample_rate": "48000", "average_bytes": "data_size * 48000 // frames",
+    "extra_size": "48", "total_frames": "frames", "first_audio_offset": "first_audio_offset", "data_size": "data_size",
+    "excess_high": "greatest(0, rendered - frames) * 65536", "data_offset": "first_audio_offset",
+    "max_packet": "coalesce(max_packet, 0)", "excess": "greatest(0, rendered - frames)", "short_power": "8", "long_power": "11",
+}
+
+
+@query(f"WITH {ACCOUNT} SELECT stream, {' || '.join(_le(HEADER_VALUES.get(n, '0'), s) for n, s in container.FIELDS)} AS header, data_size AS parsed_size, frames AS parsed_frames FROM account")
+def q37_container_header(spark, sf_dir):
+    a = _accounts(spark, sf_dir)
+    values = {n: F.expr(v.replace("//", "div")) for n, v in HEADER_VALUES.items()}
+    rows = a.select("stream", container.pack_header(**values).alias("h"))
+    rows = rows.withColumn("p", container.parse_header(F.col("h")))
+    return rows.select(
+        "stream", F.hex("h").alias("header"), F.col("p.data_size").alias("parsed_size"), F.col("p.total_frames").alias("parsed_frames")
+    )
+
+
+@query(f"""WITH {PACKETS}, p AS (SELECT stream, row_number() OVER w - 1 AS seq, size,
+coalesce(sum(size + 2) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM packets WINDOW w AS (PARTITION BY stream ORDER BY seq))
+SELECT stream, seq, position, size, NULL::VARCHAR AS error FROM p""")
+def q38_packet_walk(spark, sf_dir):
+    walked = container.walk_stream(container.build_stream(A.packets(spark, sf_dir)))
+    return walked.select("stream", "seq", "position", F.octet_length("payload").cast("bigint").alias("size"), "error")
+
+
+# Profiles and quality --------------------------------------------------------------------------
+
+
+@query(f"""WITH known AS (SELECT * FROM (VALUES {', '.join(map(str, quality.PROFILES))}) AS t(profile, generation, channels, rate)),
+wanted AS (SELECT n_nationkey AS id, 1 + n_nationkey % 2 AS generation, CASE n_regionkey WHEN 0 THEN 6 ELSE 2 END AS channels, CASE WHEN n_nationkey % 3 = 0 THEN 44100 ELSE 48000 END AS rate FROM nation)
+SELECT id, generation, channels, rate, profile, CASE WHEN profile IS NULL THEN 'unsupported' END AS error FROM wanted LEFT JOIN known USING (generation, channels, rate)""")
+def q39_profile_select(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    wanted = n.select(
+        F.col("n_nationkey").alias("id"),
+        (F.pmod("n_nationkey", F.lit(2)) + 1).cast("int").alias("generation"),
+        F.when(F.col("n_regionkey") == 0, 6).otherwise(2).alias("channels"),
+        F.when(F.pmod("n_nationkey", F.lit(3)) == 0, 44100).otherwise(48000).alias("rate"),
+    )
+    return quality.select_profile(wanted).select("id", "generation", "channels", "rate", "profile", "error")
+
+
+@query(f"""WITH axis AS (SELECT * FROM (VALUES {', '.join(f'({i}, {b}::DOUBLE, {v}::DOUBLE)' for i, (b, v) in enumerate(zip(quality.BREAKPOINTS, quality.LOWPASS)))}) AS t(i, b, v)),
+q AS (SELECT o_orderkey, CASE WHEN o_totalprice / 50000.0::DOUBLE / 10.0::DOUBLE + 1e-7::DOUBLE >= 1.0 THEN 0.9998999834060669::DOUBLE ELSE o_totalprice / 50000.0::DOUBLE / 10.0::DOUBLE + 1e-7::DOUBLE END AS q FROM (SELECT o_orderkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY o_orderkey))
+SELECT o_orderkey, round(q, 9) AS share, round(a.v + (z.v - a.v) * ((q - a.b) / (z.b - a.b)), 5) AS lowpass, false AS extrapolated
+FROM q JOIN axis a ON q >= a.b JOIN axis z ON z.i = a.i + 1 AND q < z.b""")
+def q40_quality_interp(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.max("o_totalprice").alias("p"))
+    rows = o.withColumn("q", quality.quality_share(F.col("p") / 50000.0)).withColumn("c", quality.interpolate(F.col("q")))
+    return rows.select(
+        "o_orderkey", F.round("q", 9).alias("share"), F.round("c.value", 5).alias("lowpass"), F.col("c.extrapolated").alias("extrapolated")
+    )
+
+
+@query(f"""WITH {FRAMES64}, pair AS (SELECT p.channel, p.sample / 32768.0::DOUBLE AS x, o.y FROM pcm p JOIN ola o ON o.channel = p.channel AND o.frame = p.frame
+JOIN last l ON l.channel = p.channel WHERE p.frame >= 32 AND p.frame <= (l.m + 1) // 32 * 32 - 33)
+SELECT channel, count(*) AS n, round(corr(x, y), 6) AS corr, round(sqrt(avg((x - y) * (x - y))), 6) + 0.0::DOUBLE AS rms, round(max(abs(x - y)), 6) + 0.0::DOUBLE AS peak FROM pair GROUP BY channel""")
+def q41_quality_metrics(spark, sf_dir):
+    pcm = A.pcm(spark, sf_dir).select("channel", "frame", N.domain(F.col("sample")).alias("x"))
+    last = pcm.groupBy("channel").agg(F.max("frame").alias("m"))
+    pairs = pcm.join(_resynthesis(spark, sf_dir), ["channel", "frame"]).join(F.broadcast(last), "channel")
+    inner = F.col("frame").between(F.lit(32), F.floor((F.col("m") + 1) / 32) * 32 - 33)
+    m = quality.metrics(pairs.where(inner), "x", "y", ("channel",))
+    return m.select("channel", "n", F.round("corr", 6).alias("corr"), rounded("rms").alias("rms"), rounded("peak").alias("peak"))
+
+
+@query(f"""WITH {RESIDUE}, other AS (SELECT idx, bin, floor(coeff / 0.0625::DOUBLE + 0.5::DOUBLE)::BIGINT AS q FROM spec WHERE (idx * 64 + bin) % 501 <> 500),
+d AS (SELECT res.idx, res.bin, coalesce(res.q <> other.q, true) AS differs FROM res LEFT JOIN other ON res.idx = other.idx AND res.bin = other.bin)
+SELECT idx, count(*) AS n, sum(differs::INT)::BIGINT AS different, min(CASE WHEN differs THEN bin END) AS first_bin FROM d GROUP BY idx""")
+def q42_stage_diff(spark, sf_dir):
+    other = A.spectrum(spark, sf_dir).where(F.pmod(F.col("idx") * 64 + F.col("bin"), F.lit(501)) != 500)
+    other = other.select("idx", "bin", F.floor(F.col("coeff") / 0.0625 + 0.5).alias("q"))
+    d = quality.first_difference(_residue(spark, sf_dir), other, ("idx", "bin"), "q", ("idx",))
+    return d.select("idx", "n", "different", F.col("first.bin").alias("first_bin"))
+
+
+@query(f"""WITH {PACKETS}, odd AS (SELECT *, lag(seq) OVER (PARTITION BY stream ORDER BY seq) AS before FROM packets WHERE (stream * 7 + seq) % 29 <> 0)
+SELECT stream, seq, 'index is not contiguous' AS error FROM odd WHERE before IS NOT NULL AND seq <> before + 1""")
+def q45_validation_report(spark, sf_dir):
+    p = A.packets(spark, sf_dir).where(F.pmod(F.col("stream") * 7 + F.col("seq"), F.lit(29)) != 0)
+    return quality.plan_errors(schedule.plan(p.select("stream", "seq", "mode")))
+
+
+@query(f"""WITH {PCM} SELECT channel, frame // 512 AS block, round(sqrt(avg(sample::DOUBLE * sample)), 6) AS rms FROM pcm GROUP BY channel, frame // 512""")
+def q46_rms_envelope(spark, sf_dir):
+    return quality.rms_envelope(A.pcm(spark, sf_dir), 512).select("channel", "block", F.round("rms", 6).alias("rms"))
+
+
+@query("""WITH d AS (SELECT l_linenumber, l_quantity::INT AS n, (l_extendedprice::BIGINT % 4294967296) AS word FROM lineitem)
+SELECT l_linenumber, count(*) AS n, sum(CASE WHEN n <= 0 THEN 0 ELSE length(bin(n)) END)::BIGINT AS widths,
+sum(CASE WHEN (word // 65536) % 65536 >= 32768 THEN (word // 65536) % 65536 - 65536 ELSE (word // 65536) % 65536 END)::BIGINT AS highs,
+sum(word % 65536)::BIGINT AS lows FROM (SELECT l_linenumber, n, (floor(l_extendedprice)::BIGINT * 40503) % 4294967296 AS word FROM (SELECT l_linenumber, floor(l_quantity)::INT AS n, l_extendedprice FROM lineitem)) GROUP BY l_linenumber""")
+def q47_bit_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_linenumber",
+        F.floor("l_quantity").cast("int").alias("k"),
+        F.pmod(F.floor("l_extendedprice") * 40503, F.lit(4294967296)).alias("word"),
+    )
+    return rows.groupBy("l_linenumber").agg(
+        F.count("*").alias("n"),
+        F.sum(N.bit_width(F.col("k")).cast("bigint")).alias("widths"),
+        F.sum(N.high16(F.col("word"))).alias("highs"),
+        F.sum(N.low16(F.col("word"))).alias("lows"),
+    )
+
+
+@query(f"""WITH {PAIRS} SELECT idx, bin, round(CASE WHEN m > 0 AND a > 0 THEN abs(m * 0.94::DOUBLE) + abs(a * 0.94::DOUBLE)
+WHEN m > 0 AND m > -a THEN abs(m * 0.94::DOUBLE) - abs(a * 0.94::DOUBLE) * 0.18::DOUBLE WHEN m > 0 THEN -(abs(a * 0.94::DOUBLE) - abs(m * 0.94::DOUBLE) * 0.18::DOUBLE)
+WHEN a < 0 THEN -(abs(m * 0.94::DOUBLE) + abs(a * 0.94::DOUBLE)) WHEN -m > a THEN -(abs(m * 0.94::DOUBLE) - abs(a * 0.94::DOUBLE) * 0.18::DOUBLE)
+ELSE abs(a * 0.94::DOUBLE) - abs(m * 0.94::DOUBLE) * 0.18::DOUBLE END, 6) + 0.0::DOUBLE AS strength, m + a AS "left", m - a AS "right" FROM pairs""")
+def q48_pair_strength(spark, sf_dir):
+    rows = _pairs(spark, sf_dir)
+    side = C.mid_side(F.col("m"), F.col("a"))
+    strength = C.point_hypot(F.col("m").cast("double"), F.col("a").cast("double"), 0.18)
+    return rows.select("idx", "bin", rounded(strength).alias("strength"), side["left"].alias("left"), side["right"].alias("right"))
