@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from wavemill.functions import coupling as C
 from wavemill.functions import numeric as N
 from wavemill.operators import container, entropy, floors, framing, quality, schedule, spectral
-from wavemill.plans.runtime import ship, table
+from wavemill.plans.runtime import scratch, ship, table
 from wavemill.sources import adapters as A
+from wavemill.streaming import overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -594,3 +595,39 @@ def q48_pair_strength(spark, sf_dir):
     side = C.mid_side(F.col("m"), F.col("a"))
     strength = C.point_hypot(F.col("m").cast("double"), F.col("a").cast("double"), 0.18)
     return rows.select("idx", "bin", rounded(strength).alias("strength"), side["left"].alias("left"), side["right"].alias("right"))
+
+
+# Streams ---------------------------------------------------------------------------------------
+
+
+def _chunks(spark, sf_dir, size: int) -> str:
+    """User signals cut into chunks of ``size`` samples, written in one file a chunk number for a stream to read."""
+    from pyspark.sql.window import Window as W
+
+    rows = A.user_signal(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("stream").orderBy("i")) - 1)
+    rows = rows.withColumn("seq", F.floor(F.col("k") / size))
+    parts = F.array_sort(F.collect_list(F.struct("k", (F.col("sample") / 32768.0).alias("s"))))
+    chunks = rows.groupBy("stream", "seq").agg(F.transform(parts, lambda e: e["s"]).alias("samples"))
+    path = scratch(spark, "chunks")
+    chunks.withColumn("eos", F.lit(False)).select("stream", "seq", "samples", "eos").coalesce(1).write.parquet(path)
+    return path
+
+
+@query(f"""WITH {PCM}, k AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, sample FROM pcm),
+n AS (SELECT stream, count(*) AS n FROM k GROUP BY stream),
+f AS (SELECT stream, k // 16 - d AS q, sample, n FROM k JOIN n USING (stream), (SELECT unnest([0, 1]) AS d) WHERE k // 16 - d >= 0)
+SELECT stream, q, count(*) AS n, sum(sample)::BIGINT AS total FROM f WHERE q * 16 + 32 <= n GROUP BY stream, q""")
+def q43_streaming_frames(spark, sf_dir):
+    chunks = spark.readStream.schema(overlap.CHUNKS).parquet(_chunks(spark, sf_dir, 10))
+    frames = overlap.run_once(overlap.sliding_frames(chunks, 32, 16), scratch(spark, "frames"), scratch(spark, "log"))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * 32768.0).cast("bigint")
+    return frames.select("stream", "q", F.size("samples").cast("bigint").alias("n"), total.alias("total"))
+
+
+@query(f"""WITH {PCM}, k AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, sample FROM pcm)
+SELECT stream, count(*) AS n, sum(sample)::BIGINT AS total FROM k GROUP BY stream""")
+def q44_streaming_overlap_add(spark, sf_dir):
+    chunks = spark.readStream.schema(overlap.CHUNKS).parquet(_chunks(spark, sf_dir, 16))
+    done = overlap.run_once(overlap.overlap_add(chunks, 16), scratch(spark, "pcm"), scratch(spark, "log"))
+    each = done.select("stream", F.explode("samples").alias("s"))
+    return each.groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.col("s") * 32768.0).cast("bigint").alias("total"))
