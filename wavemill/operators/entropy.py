@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def codewords(lengths: list[int]) -> list[int | None]:
@@ -100,6 +101,10 @@ class BitReader:
                 raise ValueError("no such codeword")
 
 
+def _with(rows: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField(name, kind)])
+
+
 def encode_symbols(rows: DataFrame, lengths: list[int], symbols: str = "symbols", name: str = "payload") -> DataFrame:
     """``rows`` with ``name``: each array of symbols as a prefix-coded bit stream. Codes are a constant of the book."""
     codes = codewords(lengths)
@@ -116,7 +121,7 @@ def encode_symbols(rows: DataFrame, lengths: list[int], symbols: str = "symbols"
                 out.append(w.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, rows.schema.add(name, "binary"))
+    return rows.mapInArrow(run, _with(rows, name, T.BinaryType()))
 
 
 def decode_symbols(rows: DataFrame, lengths: list[int], count: str, payload: str = "payload", name: str = "decoded") -> DataFrame:
@@ -131,7 +136,7 @@ def decode_symbols(rows: DataFrame, lengths: list[int], count: str, payload: str
                 out.append([r.read_code(tree) for _ in range(n)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, rows.schema.add(name, "array<int>"))
+    return rows.mapInArrow(run, _with(rows, name, T.ArrayType(T.IntegerType())))
 
 
 def bit_cost(rows: DataFrame, lengths: list[int], keys: tuple[str, ...], symbol: str = "symbol") -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed by the format: tags for integers, floats and the extensible header, and the tail of its identifiers.
 INTEGER, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
@@ -158,7 +159,7 @@ def to_wav(pcm: DataFrame, rate: int, stream: str = "path", total: int | None =
         return pa.table({stream: table[stream][:1], "body": pa.array([wav_bytes(frames, rate)], pa.binary())})
 
     rows = pcm.select(stream, "channel", "frame", F.col("sample").cast("smallint").alias("sample"))
-    return rows.groupBy(stream).applyInArrow(build, rows.select(stream).schema.add("body", "binary"))
+    return rows.groupBy(stream).applyInArrow(build, T.StructType([rows.schema[stream], T.StructField("body", T.BinaryType())]))
 
 
 def write_files(rows: DataFrame, folder: str, name: str = "name", body: str = "body") -> int:
