@@ -1,0 +1,44 @@
+"""Registered corpus queries against their SQL, and the pipeline against its stages done by hand."""
+
+from collections import Counter
+
+import pytest
+from harness import compare
+
+import corpus_pipeline
+from wavemill.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_agrees_with_sql(spark, name):
+    assert compare(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF) == ""
+
+
+def test_pipeline(spark):
+    from test_operators import brute_near
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = queries.quality_network(spark, docs, SF)
+    scored = corpus_pipeline.bytecnn.score(docs, net).where("score >= 0.7").collect()
+    best = {}
+    for r in scored:
+        best[r.text or ""] = max(r.doc_id, best.get(r.text or "", -1))
+    near = brute_near([(i, t) for t, i in best.items()])
+    keep = sorted(i for i, (_, c) in near.items() if c == i)
+    left = docs.where(docs.doc_id.isin(keep))
+    stream = corpus_pipeline.mixing.mix(left)
+    want = Counter(r.doc_id for r in stream.collect())
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in got) == want
+    from tokenizers import Tokenizer
+
+    library, text = Tokenizer.from_file(queries.vocabulary()), {r.doc_id: r.text for r in left.collect()}
+    assert all(r.token_ids == library.encode(text[r.doc_id], add_special_tokens=False).ids for r in got[:50])
+
+
+def test_stages_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
