@@ -37,7 +37,7 @@ from wavemill.llm.common import small_batches
 #: Fixed by the vocabulary's format: how byte-level BPE splits a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed by Unicode: the code points of the White_Space property.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fragments that a worker keeps before it starts afresh, and the longest that it keeps.
 KEPT_FRAGMENTS, KEPT_CHARS = 400_000, 64
 
