@@ -143,6 +143,15 @@ ROWS = "uid bigint, dest bigint, kind int, body binary"
 ASKED, DOCS, HERE, ANSWER = range(4)
 
 
+def _pressed(body: bytes) -> bytes:
+    """A compressed body, its length before it."""
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _loose(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _split(dest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each destination and the places that go there."""
     order = np.argsort(dest, kind="stable")
@@ -272,12 +281,13 @@ def ask_contexts(blocks: int):
                 where = np.zeros(len(number), U)
                 where[which] = hashes
                 body = np.stack([which, doc, first - offsets[doc], last - first + 1]).astype(np.int64)
-                rows.append((uid, -uid - 1, HERE, np.array([len(number)]).tobytes() + lowest.tobytes() + body.astype(np.uint32).tobytes()))
+                own = np.array([len(number)]).tobytes() + lowest.tobytes() + body.astype(np.uint32).tobytes()
+                rows.append((uid, -uid - 1, HERE, _pressed(own)))
                 texts = list(number)
                 for block, at in _split((where % U(blocks)).astype(np.int64)):
                     sizes = np.array([len(texts[i]) for i in at], np.uint8)
                     head = np.array([len(at)], np.int64).tobytes() + lowest[at].tobytes() + at.astype(np.uint32).tobytes()
-                    rows.append((uid, block, ASKED, head + sizes.tobytes() + b"".join(texts[i] for i in at)))
+                    rows.append((uid, block, ASKED, _pressed(head + sizes.tobytes() + b"".join(texts[i] for i in at))))
             yield _rows(rows)
 
     return run
@@ -290,7 +300,7 @@ def answer_contexts(table: pa.Table) -> pa.Table:
     uid = table["uid"].to_pylist()
     number: dict[bytes, int] = {}
     owner, ctx, own, lowest = [], [], [], []
-    for p, body in enumerate(table["body"].to_pylist()):
+    for p, body in enumerate(map(_loose, table["body"].to_pylist())):
         n = int(np.frombuffer(body, np.int64, 1)[0])
         low, nr = np.frombuffer(body, np.int64, n, 8), np.frombuffer(body, np.uint32, n, 8 + 8 * n)
         sizes = np.frombuffer(body, np.uint8, n, 8 + 12 * n).astype(np.int64)
@@ -318,7 +328,7 @@ def answer_contexts(table: pa.Table) -> pa.Table:
     rows = []
     for p, at in _split(owner[row]):
         body = np.stack([ctx[row[at]].astype(np.int64), string[at], found[at]])
-        rows.append((uid[p], -uid[p] - 1, ANSWER, body.astype(np.int64).tobytes()))
+        rows.append((uid[p], -uid[p] - 1, ANSWER, _pressed(body.astype(np.int64).tobytes())))
     return pa.Table.from_batches([_rows(rows)])
 
 
@@ -326,7 +336,7 @@ def spans_by_doc(table: pa.Table) -> pa.Table:
     """For each document of a pack its removed byte ranges."""
     keys, kinds, bodies = _keys_of(table), table["kind"].to_pylist(), table["body"].to_pylist()
     none = _per_doc(keys, np.zeros(0, np.int64), np.zeros(0, np.int64), "spans")
-    here = next((b for b, k in zip(bodies, kinds) if k == HERE), None)
+    here = next((_loose(b) for b, k in zip(bodies, kinds) if k == HERE), None)
     if here is None:
         return none
     n = int(np.frombuffer(here, np.int64, 1)[0])
@@ -335,7 +345,7 @@ def spans_by_doc(table: pa.Table) -> pa.Table:
     best = np.repeat(lowest[:, None], SPAN, axis=1)
     for body, kind in zip(bodies, kinds):
         if kind == ANSWER:
-            c, s, low = np.frombuffer(body, np.int64).reshape(3, -1)
+            c, s, low = np.frombuffer(_loose(body), np.int64).reshape(3, -1)
             best[c, s] = np.minimum(best[c, s], low)
     gone = best[which] < keys[0][doc][:, None]
     gone &= np.arange(SPAN) < strings[:, None]
