@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import coupling as C
 from wavemill.functions import numeric as N
-from wavemill.operators import container, entropy, framing, quality, schedule, spectral
+from wavemill.operators import codec, container, entropy, framing, quality, schedule, spectral
 from wavemill.sources import wav
 from wavemill.streaming import overlap
 
@@ -220,3 +220,34 @@ def test_float_log(spark):
     df = spark.createDataFrame([([1.0, 0.5, -0.25, 3.0],)], "x array<float>")
     got = df.select(spectral.float_log(F.col("x")).alias("y")).first().y
     assert all(abs(g - 20 * math.log10(abs(x))) < 0.6 for g, x in zip(got, [1.0, 0.5, -0.25, 3.0]))
+
+
+def test_codec_round_trip(spark):
+    rng = np.random.default_rng(7)
+    n = 9000
+    t = np.arange(n)
+    x = np.stack([0.04 * np.sin(t * 0.03) + 0.001 * rng.normal(size=n), 0.03 * np.sin(t * 0.05)])
+    x[:, 5000:5040] += rng.uniform(-0.5, 0.5, (2, 40))
+    s = np.clip(np.rint(x * 32768), -32768, 32767).astype(int)
+    rows = [(5, c, i, int(s[c, i])) for c in range(2) for i in range(n)] + [(6, 0, i, 0) for i in range(5000)] + [(6, 1, i, 0) for i in range(5000)]
+    pcm = spark.createDataFrame(rows, "stream bigint, channel int, frame bigint, sample int")
+    packets = codec.encode(pcm, 2)
+    modes = [r["mode"] for r in packets.where("stream = 5").orderBy("seq").collect()]
+    assert 0 in modes[2:] and 1 in modes
+    back = {(r.stream, r.channel, r.frame): r.x for r in codec.decode(packets, 2).collect()}
+    assert len(back) == 2 * n + 10000
+    got = np.array([[back[5, c, i] for i in range(n)] for c in range(2)])
+    assert np.sqrt(((got - s / 32768) ** 2).mean()) < 0.01
+    assert all(v == 0 for (k, _, _), v in back.items() if k == 6)
+    with pytest.raises(Exception, match="4096 are needed"):
+        codec.encode(pcm.where("frame < 1000"), 2).collect()
+    with pytest.raises(ValueError, match="ends early"):
+        codec.unpack(b"\x01", 1, 32.0)
+
+
+def test_packets_do_not_depend_on_partitioning(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, 0, i, int(v)) for i, v in enumerate(rng.integers(-9000, 9000, 5000))]
+    pcm = spark.createDataFrame(rows, "stream bigint, channel int, frame bigint, sample int")
+    one = {r.seq: bytes(r.payload) for r in codec.encode(pcm, 1).collect()}
+    assert one == {r.seq: bytes(r.payload) for r in codec.encode(pcm.repartition(11), 1).collect()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import coupling as C
 from wavemill.functions import numeric as N
-from wavemill.operators import container, entropy, floors, framing, quality, schedule, spectral
+from wavemill.operators import codec, container, entropy, floors, framing, quality, schedule, spectral
 from wavemill.plans.runtime import scratch, ship, table
 from wavemill.sources import adapters as A
 from wavemill.streaming import overlap
@@ -631,3 +631,26 @@ def q44_streaming_overlap_add(spark, sf_dir):
     done = overlap.run_once(overlap.overlap_add(chunks, 16), scratch(spark, "pcm"), scratch(spark, "log"))
     each = done.select("stream", F.explode("samples").alias("s"))
     return each.groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.col("s") * 32768.0).cast("bigint").alias("total"))
+
+
+# Codec -----------------------------------------------------------------------------------------
+
+
+def _as_stream(spark, sf_dir):
+    return A.pcm(spark, sf_dir).select(F.lit(0).cast("bigint").alias("stream"), "channel", "frame", "sample")
+
+
+@query(f"WITH {PCM} SELECT channel, count(*) AS n, true AS close FROM pcm GROUP BY channel")
+def q49_codec_round_trip(spark, sf_dir):
+    pcm = _as_stream(spark, sf_dir)
+    back = codec.decode(codec.encode(pcm, 2, least=0), 2)
+    pairs = pcm.join(back, ["stream", "channel", "frame"], "left").withColumn("s", N.domain(F.col("sample")))
+    m = quality.metrics(pairs, "s", "x", ("channel",))
+    return m.select("channel", "n", ((F.col("corr") > 0.999) & (F.col("rms") < 0.02)).alias("close"))
+
+
+@query(f"""WITH {PCM}, e AS (SELECT channel, frame // 64 AS q, sum((sample / 32768.0::DOUBLE) * (sample / 32768.0::DOUBLE)) AS e FROM pcm GROUP BY channel, frame // 64),
+r AS (SELECT q, coalesce(e > 16 * avg(e) OVER (PARTITION BY channel ORDER BY q ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) + 1e-4::DOUBLE, false)::INT AS r FROM e)
+SELECT 0::BIGINT AS stream, q, max(r) AS slot FROM r GROUP BY q""")
+def q50_transient_slots(spark, sf_dir):
+    return codec.transient_slots(_as_stream(spark, sf_dir))
