@@ -76,13 +76,32 @@ def float_log(x: Column) -> Column:
     return run(x)
 
 
-def autocorrelation(samples: DataFrame, order: int, keys: tuple[str, ...] = ("channel",), at: str = "frame", value: str = "sample") -> DataFrame:
-    """lag, r for lags 0..order: products of places ``lag`` apart, met by an equi-join on place."""
-    s = samples.select(*keys, F.col(at).alias("at"), F.col(value).cast("bigint").alias("s"))
-    shifted = s.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(order))).alias("lag"), "at", F.col("s").alias("t"))
-    shifted = shifted.withColumn("at", F.col("at") + F.col("lag"))
-    both = s.join(shifted, [*keys, "at"])
-    return both.groupBy(*keys, "lag").agg(F.sum(F.col("s") * F.col("t")).alias("r"))
+def autocorrelation(
+    samples: DataFrame, order: int, keys: tuple[str, ...] = ("channel",), at: str = "frame", value: str = "sample", block: int = 4096
+) -> DataFrame:
+    """lag, r for lags 0..order: sums of products of places ``lag`` apart; a missing place counts 0.
+
+    Samples are gathered in blocks, each with the last ``order`` places of the block before, so a
+    stream of any length is shared out and only those few places move twice.
+    """
+    own = F.floor(F.col(at) / block).cast("bigint")
+    late = F.pmod(at, F.lit(block)) >= block - order
+    blocks = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = samples.select(*keys, F.explode(blocks).alias("_b"), F.col(at).alias("_at"), F.col(value).cast("bigint").alias("_s"))
+    rows = rows.withColumn("_p", (F.col("_at") - F.col("_b") * block + order).cast("int"))
+    lists = rows.groupBy(*keys, "_b").agg(F.collect_list("_p").alias("p"), F.collect_list("_s").alias("s"))
+
+    @pandas_udf("array<bigint>")
+    def sums(p: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for places, values in zip(p, s):
+            x = np.zeros(order + block, np.int64)
+            x[places] = values
+            out.append([int(x[order:] @ x[order - lag : order + block - lag]) for lag in range(order + 1)])
+        return pd.Series(out)
+
+    each = lists.select(*keys, F.posexplode(sums("p", "s")).alias("lag", "r"))
+    return each.groupBy(*keys, "lag").agg(F.sum("r").alias("r"))
 
 
 def predictor(r: np.ndarray, damping: float = 0.99) -> np.ndarray:
