@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import coupling as C
 from wavemill.functions import numeric as N
-from wavemill.operators import codec, container, entropy, framing, quality, schedule, spectral
+from wavemill.operators import codec, container, entropy, framing, posts, quality, schedule, spectral
 from wavemill.sources import wav
-from wavemill.streaming import overlap
+from wavemill.streaming import overlap, sessions
 
 
 def values(spark, rows, schema, **columns):
@@ -251,3 +251,51 @@ def test_packets_do_not_depend_on_partitioning(spark):
     pcm = spark.createDataFrame(rows, "stream bigint, channel int, frame bigint, sample int")
     one = {r.seq: bytes(r.payload) for r in codec.encode(pcm, 1).collect()}
     assert one == {r.seq: bytes(r.payload) for r in codec.encode(pcm.repartition(11), 1).collect()}
+
+
+def test_posts_wrap_and_unwrap():
+    rng = random.Random(11)
+    x = [0, 128, 14, 4, 58, 2, 8, 28, 90]
+    for _ in range(300):
+        y = [rng.randrange(128) for _ in x]
+        stored = posts.wrap(y, x, 128)
+        assert all(0 <= v < 128 for v in stored)
+        assert posts.unwrap(stored, x, 128)[0] == y
+
+
+def test_smooth_keeps_lines():
+    line = 3.0 + 0.25 * np.arange(64)
+    assert np.allclose(posts.smooth(line, 5), line)
+
+
+def test_sessions_equal_batches(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = [(3, c, i, int(v)) for c in range(2) for i, v in enumerate(rng.integers(-9000, 9000, 6000))]
+    pcm = spark.createDataFrame(rows, "stream bigint, channel int, frame bigint, sample int")
+    packets = codec.encode(pcm, 2)
+    want = {(r.channel, r.frame): r.x for r in codec.decode(packets, 2).collect()}
+    data = [(3, r.seq, bytes(r.payload), 6000) for r in packets.orderBy("seq").collect()]
+    for size in (1, 4, 100):
+        src = tmp_path / f"in{size}"
+        for at in range(0, len(data), size):
+            part = [(*d, d is data[-1]) for d in data[at : at + size]]
+            spark.createDataFrame(part, sessions.PACKETS).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(sessions.PACKETS).option("maxFilesPerTrigger", 3 if size > 1 else 1000).parquet(str(src))
+        out = overlap.run_once(sessions.decode_session(stream, 2), str(tmp_path / f"out{size}"), str(tmp_path / f"log{size}"))
+        got = {(r.channel, r.start + k): v for r in out.collect() for k, v in enumerate(r.samples)}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+
+
+def test_sessions_refuse_and_go_on():
+    packet = codec.pack(np.zeros((1, 128)), 0, 32.0)
+    s = sessions.Session(1, 32.0)
+    s.push(0, packet, 9999)
+    before = s.state
+    for seq, bad in ((2, packet), (1, b"\x01")):
+        with pytest.raises(ValueError):
+            s.push(seq, bad, 9999)
+        assert s.state == before
+    s.push(1, packet, 9999)
+    s.finish(9999)
+    with pytest.raises(ValueError, match="ended"):
+        s.push(2, packet, 9999)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import coupling as C
 from wavemill.functions import numeric as N
-from wavemill.operators import codec, container, entropy, floors, framing, quality, schedule, spectral
+from wavemill.operators import codec, container, entropy, floors, framing, posts, quality, schedule, spectral
 from wavemill.plans.runtime import scratch, ship, table
 from wavemill.sources import adapters as A
 from wavemill.streaming import overlap
@@ -654,3 +654,49 @@ r AS (SELECT q, coalesce(e > 16 * avg(e) OVER (PARTITION BY channel ORDER BY q R
 SELECT 0::BIGINT AS stream, q, max(r) AS slot FROM r GROUP BY q""")
 def q50_transient_slots(spark, sf_dir):
     return codec.transient_slots(_as_stream(spark, sf_dir))
+
+
+# Posts and identifiers -------------------------------------------------------------------------
+
+POST_X = [0, 63, 16, 48, 32, 8, 24, 40, 56]
+
+
+@query(f"""WITH {LEVELS} SELECT idx, sum(level // 4)::BIGINT AS total, true AS same FROM levels WHERE bin IN ({', '.join(map(str, POST_X))}) GROUP BY idx""")
+def q51_floor_wrap(spark, sf_dir):
+    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") == 64)
+    level = lambda k: N.multiplier_level(N.level(N.db(F.element_at("x", k + 1))), F.lit(1)).cast("int")
+    rows = rows.select("idx", F.array(*(level(k) for k in POST_X)).alias("y"))
+    rows = rows.withColumn("stored", posts.wrapped(F.col("y"), POST_X, 256))
+    rows = rows.withColumn("back", posts.wrapped(F.col("stored"), POST_X, 256, True))
+    total = F.aggregate("y", F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return rows.select("idx", total.alias("total"), (F.col("back") == F.col("y")).alias("same"))
+
+
+@query(f"""WITH {ACCUMULATED}, s AS (SELECT idx, part, (n_a + n_b)::DOUBLE AS n, (sx_a + sx_b)::DOUBLE AS sx, (sy_a + sy_b)::DOUBLE AS sy, (sxx_a + sxx_b)::DOUBLE AS sxx, (sxy_a + sxy_b)::DOUBLE AS sxy FROM moments),
+f AS (SELECT idx, part, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope, n, sx, sy FROM s),
+e AS (SELECT l.idx, l.part, l.level - greatest(0, least(1023, floor((sy - slope * sx) / n + slope * l.bin + 0.5::DOUBLE)))::BIGINT AS d FROM near l JOIN f ON f.idx = l.idx AND f.part = l.part),
+a AS (SELECT idx, part, max(d) AS "over", max(-d) AS under, (sum(d * d)::BIGINT // count(*)) AS square FROM e GROUP BY idx, part)
+SELECT idx, part, "over", under, square, "over" > 60 OR under > 30 OR square > 500 AS split FROM a""")
+def q52_line_errors(spark, sf_dir):
+    m = _moments(spark, sf_dir)
+    both = [(F.col(f"{c}_a") + F.col(f"{c}_b")).cast("double") for c in ("n", "sx", "sy", "sxx", "sxy")]
+    lines = m.select("idx", "part", *(c.alias(n) for c, n in zip(both, ("n", "sx", "sy", "sxx", "sxy"))))
+    rows = _levels(spark, sf_dir).withColumn("part", F.floor(F.col("bin") / 16)).join(lines, ["idx", "part"])
+    fit = floors.line_fit(*map(F.col, ("n", "sx", "sy", "sxx", "sxy")), F.col("bin")).cast("bigint")
+    return posts.line_errors(rows.withColumn("fit", fit), ("idx", "part"), "bin", "level")
+
+
+@query(f"""WITH {SPEC} SELECT idx, round((list_extract(list(coeff ORDER BY bin), 1) ** 2 + 0.7::DOUBLE * list_extract(list(coeff ORDER BY bin), 2) ** 2
++ 0.2::DOUBLE * list_extract(list(coeff ORDER BY bin), 3) ** 2)::FLOAT::DOUBLE, 6) AS low FROM spec GROUP BY idx""")
+def q53_low_energy(spark, sf_dir):
+    return A.spectrum_rows(spark, sf_dir).select("idx", F.round(posts.low_energy(F.col("x")), 6).alias("low"))
+
+
+@query("""SELECT p_partkey, p_partkey % 598 AS book, CASE WHEN p_partkey % 598 < 97 THEN 't97' WHEN p_partkey % 598 < 316 THEN 't219' ELSE 't282' END AS book_table,
+CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 7 END AS error FROM part""")
+def q54_identifiers(spark, sf_dir):
+    book = F.pmod("p_partkey", F.lit(598))
+    kind = F.element_at(F.array(*map(F.lit, ("malformed", "unsupported", "truncated", "whatever"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", book.alias("book"), posts.book_table(book).alias("book_table"), posts.error_class(kind).alias("error")
+    )
