@@ -270,7 +270,7 @@ def test_templates_accept_what_their_patterns_do():
 def test_license_scan(spark):
     rows = [None, "", "Released under the MIT License.", "x MIT  license mit-LICENSE", "the mit", "license", "Licensed under the Apache License, Version 2.0."]
     rows += ["word " * 30000 + "GNU General Public License", "mit éé license", "MIT\u00a0license"]
-    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows, False).select("doc_id", "text", "size")).collect()}
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, rows, False).withColumn("matches", F.lit(1))).collect()}
     labels = {i: [(m.label, m.template, m.first_word) for m in r.matches] for i, r in got.items()}
     assert [got[i].n_words for i in range(7)] == [0, 0, 5, 5, 2, 1, 8]
     assert labels[2] == [("mit-notice", True, 1), ("mit", False, 3)]
@@ -306,17 +306,14 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("pack", [None, 3000])
-def test_repeats(spark, monkeypatch, pack):
-    if pack:  # many packs and blocks, texts in parts
-        monkeypatch.setattr(suffixes, "PACK", pack)
-        monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
-        monkeypatch.setattr(suffixes.textnp, "RUN_BYTES", 300)
+@pytest.mark.parametrize("sizes", [{}, {"pack": 3000, "bucket_bytes": 2000, "piece": 300}])
+def test_repeats(spark, sizes):
+    """Small sizes make many packs and blocks, and texts in parts."""
     rows = texts(3, 80)
     rows += ["a" * 130, "ab" * 70, "x" * 49, "a" * 60, "Ünïcödé " * 20, "z" + "Ünïcödé " * 20]
     df = documents(spark, rows)
     want = brute_repeats([(r.doc_id, r.text) for r in df.collect()])
-    got = suffixes.remove_repeats(df).collect()
+    got = suffixes.remove_repeats(df, **sizes).collect()
     assert len(got) == df.count()
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
@@ -394,12 +391,12 @@ def test_bpe_equals_the_library(spark):
 
     library = Tokenizer.from_file(vocabulary())
     rows = texts(5, 40) + ["a<|endoftext|>b", "  a  b\n\n c 　d", "'s don't I'LL", "a" * 3000, "ab" * 900 + "!!", "日本 語 x", "😀😁 a", "x\x85 y", "\x1c z"]
-    df = documents(spark, rows, False).select("doc_id", "text", "size")
+    df = documents(spark, rows, False).withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(1))
     out = bpe.decode(bpe.encode(df, vocabulary()), vocabulary()).collect()
     assert len(out) == len(rows)
     for r in out:
         text = rows[r.doc_id] or ""
-        assert r.ids == library.encode(text, add_special_tokens=False).ids and r.decoded == text and r.size == 1
+        assert r.ids == library.encode(text, add_special_tokens=False).ids and r.decoded == text and r["size"] == 1
     assert bpe.encode(empty(spark), vocabulary()).count() == 0
 
 
@@ -420,13 +417,13 @@ def test_quality_network(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(7, None), (None, 1), (9999, 1)], "doc_id bigint, quality int")
     df = documents(spark, rows, False)
     net = bytecnn.fit(df, labels, lambda key: id_remainder(key, 4) != 2)
-    got = bytecnn.score(df, net, name="p").collect()
-    assert len(got) == len(rows) and all(0 <= r.p <= 1 for r in got)
+    got = bytecnn.score(df, net).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.doc_id < 300 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
-    assert np.mean([(r.p >= 0.7) == (r.doc_id % 3 > 0) for r in held]) > 0.9
-    assert bytecnn.score(empty(spark), net, name="p").count() == 0
+    assert np.mean([(r.score >= 0.7) == (r.doc_id % 3 > 0) for r in held]) > 0.9
+    assert bytecnn.score(empty(spark), net).count() == 0
     none = bytecnn.fit(df, labels.where("quality = 1"), lambda key: F.lit(True))
-    assert bytecnn.score(df, none, name="p").agg(F.min("p")).first()[0] > 0.9
+    assert bytecnn.score(df, none).agg(F.min("score")).first()[0] > 0.9
 
 
 def test_long_texts_score_like_their_parts():
@@ -451,7 +448,7 @@ def test_toxicity(spark):
     df = documents(spark, rows, False)
     labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(0, 600, 2)] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
     weights = toxicity.fit(df, labels, lambda key: id_remainder(key, 5) != 0)
-    got = {r.doc_id: r.p for r in toxicity.score(df, weights, name="p").collect()}
+    got = {r.doc_id: r.Score for r in toxicity.score(df, weights, name="Score").collect()}
     assert all(got[i] >= 0.5 for i in range(0, 600, 8)) and got[602] >= 0.5
     assert all(got[i] < 0.5 for i in range(600) if i % 8) and got[600] < 0.5 and got[601] < 0.5
     assert toxicity.score(empty(spark), weights, name="p").count() == 0

@@ -14,7 +14,7 @@ lost executor costs its batches only. The fragments kept by a worker are bounded
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; bytes that
 are not UTF-8 after decoding arbitrary ids become U+FFFD; unknown ids are an error; other
-columns pass through ``encode`` and ``decode`` untouched; names that clash are refused by Spark.
+columns pass through ``encode`` and ``decode`` untouched, but those of their results' names are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavemill.llm.common import small_batches
+from wavemill.llm.common import small_batches, without
 
 #: Fixed by the vocabulary's format: how byte-level BPE splits a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -198,7 +198,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` without ``text`` but with ``ids``, the token ids of each whole text."""
     small_batches(docs)
-    rest = [c for c in docs.columns if c != text]
+    rest = without(docs, text, ids).columns
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids, T.ArrayType(T.IntegerType()), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +216,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with ``text``, the text of ``ids``; null ids decode to an empty text."""
     small_batches(rows)
+    rows = without(rows, text)
     at = rows.columns.index(ids)
     schema = T.StructType([*rows.schema.fields, T.StructField(text, T.StringType(), False)])
 

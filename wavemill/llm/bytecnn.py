@@ -16,7 +16,7 @@ Defined cases: null and empty texts are scored as ``WIDTH`` zero bytes; without
 both classes all scores are the smoothed share of the class there is; labels that are null or
 whose documents are missing are ignored; of several labels of one document all count; null
 ids are scored but never trained on; an empty table gives an empty result; other
-columns pass through ``score`` untouched.
+columns pass through ``score`` untouched, but one of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavemill.llm import textnp
-from wavemill.llm.common import small_batches, text_of
+from wavemill.llm.common import small_batches, without
 
 WIDTH, FILTERS, HIDDEN = 5, 16, 16
 BLOCK = 256
@@ -217,6 +217,7 @@ def labelled_sample(
 def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with ``name``, the probability of class 1 from all bytes of the text."""
     small_batches(docs)
+    docs = without(docs, name)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType(), False)])
 

@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
-def pick(docs: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, renamed; whatever else ``docs`` carries can't clash."""
-    return docs.select(*(docs[have].alias(want) for want, have in columns.items()))
-
-
 def free_names(docs: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``docs`` has."""
     taken, out = {c.lower() for c in docs.columns}, []
@@ -25,6 +20,12 @@ def free_names(docs: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without columns of these names: an operator's own column takes the place of one that ``docs`` has."""
+    gone = {n.lower() for n in names}
+    return docs.select(*(docs[c] for c in docs.columns if c.lower() not in gone))
+
+
 def text_of(text: str | Column) -> Column:
     """A text, null counting as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

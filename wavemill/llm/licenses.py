@@ -15,7 +15,7 @@ One Arrow pass over whole texts, no shuffle; the automata are a few kB.
 
 Defined cases: null and empty texts have no words and no labels; matches may overlap and
 all count; a match may not cross texts; templates that accept an empty text are refused; other columns pass
-through ``scan`` untouched; an empty table gives an empty result.
+through ``scan`` untouched, but n_words and matches are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavemill.llm import textnp
-from wavemill.llm.common import small_batches
+from wavemill.llm.common import small_batches, without
 
 #: Fixed by the contract: phrase and label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -165,7 +165,7 @@ def scan(docs: DataFrame, phrases=None, templates=None, text: str = "text") -> D
     automata = [compiled(t) for t in templates.values()]
     labels = np.array([*phrases.values(), *templates])
     plain = len(phrases)
-    rest = [c for c in docs.columns if c != text]
+    rest = without(docs, text, "n_words", "matches").columns
     match = T.StructType(
         [
             T.StructField("label", T.StringType()),

@@ -20,7 +20,7 @@ dimension: one row each, ordered once in one task.
 Defined cases: a null or blank text has size 0 and is never taken; a null source is
 a source of its own, last in the order; rows with equal ids are ordered by the digest
 of their text, and wholly equal rows are interchangeable; an empty table gives an empty
-mix; other columns pass through ``mix`` untouched.
+mix; other columns pass through ``mix`` untouched, but one of the name given to positions is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wavemill.llm.common import text_of
+from wavemill.llm.common import text_of, without
 from wavemill.plans.runtime import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -161,4 +161,5 @@ def mix(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     used = plan(docs, carry=True, **options).select("row", "doc_id", F.explode("uses").alias("use"))
     used = used.orderBy("use.position", "doc_id", "use.pass")
     extra = [F.col("use.position").alias(position)] if position else []
-    return used.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *extra)
+    kept = without(docs, position).columns if position else docs.columns
+    return used.select(*(F.col("row").getField(c).alias(c) for c in kept), *extra)

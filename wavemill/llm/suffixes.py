@@ -96,22 +96,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(h == most), h, least
 
 
-def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Byte ranges of runs of texts, with the texts' borders in them; a very long text comes in overlapping parts."""
-    for a, b in textnp.runs(offsets):
+    for a, b in textnp.runs(offsets, limit):
         low, high = int(offsets[a]), int(offsets[b])
-        if b - a > 1 or high - low <= 2 * textnp.RUN_BYTES:
+        if b - a > 1 or high - low <= 2 * limit:
             yield low, high, offsets[a : b + 1] - low
             continue
-        for at in range(low, high - LENGTH + 1, textnp.RUN_BYTES):
-            end = min(high, at + textnp.RUN_BYTES + LENGTH - 1)
+        for at in range(low, high - LENGTH + 1, limit):
+            end = min(high, at + limit + LENGTH - 1)
             yield at, end, np.array([0, end - at])
 
 
 # Packs -----------------------------------------------------------------------------------------
 
 
-def packs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
+def packs(batches: Iterator[pa.RecordBatch], limit: int, *names: str) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
     """(uid, columns, bytes, borders) of packs of documents; a recomputed task makes the same packs."""
     held: list[pa.RecordBatch] = []
     seq, size, rows = TaskContext.get().partitionId() << 24, 0, 0
@@ -126,7 +126,7 @@ def packs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int,
             held.append(batch)
             rows += batch.num_rows
             size += batch.column(batch.schema.get_field_index("text")).nbytes
-        if size >= PACK or rows > 30_000:
+        if size >= limit or rows > 30_000:
             yield pack()
             held, seq, size, rows = [], seq + 1, 0, 0
     if held:
@@ -165,11 +165,11 @@ def _docs_row(uid: int, columns: dict) -> tuple[int, int, int, bytes]:
     return uid, -uid - 1, DOCS, keys.astype(np.int64).tobytes()
 
 
-def ask_anchors(buckets: int):
+def ask_anchors(buckets: int, pack: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, columns, data, offsets in packs(batches, "id", "th"):
+        for uid, columns, data, offsets in packs(batches, pack, "id", "th"):
             found = []
-            for low, high, borders in pieces(offsets):
+            for low, high, borders in pieces(offsets, piece):
                 at, h, _ = anchors(data[low:high], borders)
                 doc = np.searchsorted(offsets, at + low, side="right") - 1
                 found.append((doc.astype(U) << _SHIFT) | (h[at] >> U(16)))
@@ -232,12 +232,14 @@ def anchors_by_doc(table: pa.Table) -> pa.Table:
 # Contexts --------------------------------------------------------------------------------------
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, shared: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def contexts(
+    data: np.ndarray, offsets: np.ndarray, shared: np.ndarray, piece: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """First and last string, and anchor hash, of each run of strings that chose one shared anchor.
 
     ``shared`` has (document << 48 | hash), sorted.
     """
-    for low, high, borders in pieces(offsets):
+    for low, high, borders in pieces(offsets, piece):
         at, h, least = anchors(data[low:high], borders)
         inside = np.flatnonzero(least)
         if not len(inside):
@@ -261,12 +263,12 @@ def contexts(data: np.ndarray, offsets: np.ndarray, shared: np.ndarray) -> Itera
         yield string[begin] + low, string[end] + low, hashes[begin]
 
 
-def ask_contexts(blocks: int):
+def ask_contexts(blocks: int, pack: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, columns, data, offsets in packs(batches, "id", "th", "shared"):
+        for uid, columns, data, offsets in packs(batches, pack, "id", "th", "shared"):
             lists = [np.frombuffer(x, U) for x in columns["shared"].to_pylist()]
             shared = np.concatenate([np.zeros(0, U), *(x | (U(i) << _SHIFT) for i, x in enumerate(lists))])
-            found = list(contexts(data, offsets, shared))
+            found = list(contexts(data, offsets, shared, piece))
             rows = [_docs_row(uid, columns)]
             if found:
                 first, last, hashes = (np.concatenate(x) for x in zip(*found))
@@ -464,7 +466,14 @@ def least_by_string(raw: bytes, sizes: np.ndarray, least: np.ndarray) -> np.ndar
 # Operator --------------------------------------------------------------------------------------
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    pack: int = PACK,
+    bucket_bytes: int = BUCKET_BYTES,
+    piece: int = textnp.RUN_BYTES,
+) -> DataFrame:
     """id, th, text, copy, spans for each row: the removed byte ranges as pairs of 64-bit numbers; ``copy`` rows lose all."""
     spark = docs.sparkSession
     small_batches(docs)
@@ -479,14 +488,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     copies = cut(copies, "repeat-copies")
     small = copies.count() <= BROADCAST_ROWS
     fresh = long_.join(F.broadcast(copies) if small else copies, ["id", "th"], "left_anti")
-    blocks = max(8, -(-total // BUCKET_BYTES))
-    asked = fresh.mapInArrow(ask_anchors(blocks), ROWS).groupBy("dest").applyInArrow(answer_anchors, ROWS)
+    blocks = max(8, -(-total // bucket_bytes))
+    asked = fresh.mapInArrow(ask_anchors(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_anchors, ROWS)
     shared = asked.groupBy("uid").applyInArrow(anchors_by_doc, "id bigint, th bigint, shared binary")
     shared = cut(shared, "repeat-anchors")
     del asked, first, narrow
     release(spark)
     around = fresh.join(shared.dropDuplicates(["id", "th"]), ["id", "th"]).select("id", "th", "text", "shared")
-    asked = around.mapInArrow(ask_contexts(blocks), ROWS).groupBy("dest").applyInArrow(answer_contexts, ROWS)
+    asked = around.mapInArrow(ask_contexts(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_contexts, ROWS)
     spans = asked.groupBy("uid").applyInArrow(spans_by_doc, "id bigint, th bigint, spans binary")
     spans = cut(spans, "repeat-spans").dropDuplicates(["id", "th"])
     del asked, around
@@ -507,8 +516,8 @@ def kept_bytes(body: np.ndarray, copy: bool, spans: bytes | None) -> tuple[bytes
     return left, len(body) - len(left), len(pairs)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row of ``docs``."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row of ``docs``; ``sizes`` as of ``repeats``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -521,6 +530,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 ["id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    out = repeats(docs, key, text).mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    out = repeats(docs, key, text, **sizes).mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 

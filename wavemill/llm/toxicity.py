@@ -16,7 +16,7 @@ Arrow batches without a shuffle; the weights sent to the workers are 1 MB.
 Defined cases: null and empty texts have no words and get the score of the bias; without any
 toxic example all scores are 0; labels that are null or whose documents are missing are
 ignored; null ids are scored but never trained on; an empty table gives an empty
-result; other columns pass through ``score`` untouched.
+result; other columns pass through ``score`` untouched, but one of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavemill.llm import textnp
-from wavemill.llm.common import small_batches
+from wavemill.llm.common import small_batches, without
 
 BITS = 18
 TOXIC, UNLABELLED, WORDS = 3000, 6000, 4000
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, target: str = "toxic", key: st
 def score(docs: DataFrame, weights: Weights, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with ``name``, the probability that the text is toxic."""
     small_batches(docs)
+    docs = without(docs, name)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType(), False)])
 
