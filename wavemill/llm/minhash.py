@@ -18,6 +18,9 @@ full sets are compared block against block inside a task, which gives out a span
 forest of the links between components and never the pairs. So no pair of a bucket that could still
 join two components goes unseen. Components come from alternating large and small stars over the links.
 
+What is summed per bucket or node is written before it is joined back, so that both sides of the
+join are dealt out anew and Spark can split a hot bucket or node among tasks.
+
 Defined cases: null and blank texts have no shingles and stay alone; with fewer than
 five words the whole sequence is the one shingle; rows with equal ids are one
 document whose component is theirs; a null id keeps a null component and is kept;
@@ -148,7 +151,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     """bucket, rep, n: members of the band buckets that hold more than one class."""
     each = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    return each.join(shared, "bucket")
+    return each.join(cut(shared, "near-buckets"), "bucket")
 
 
 def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,7 +165,7 @@ def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
 def stars(members: DataFrame) -> DataFrame:
     """Candidate edges: each member of a bucket with its least, unless their sizes alone rule it out."""
-    centre = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"))
+    centre = cut(members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c")), "near-centres")
     edges = members.join(centre, "bucket").where(
         (F.col("rep") > F.col("c.rep"))
         & (100 * F.least("n", F.col("c.n")) >= PERCENT * F.greatest("n", F.col("c.n")))
@@ -181,7 +184,7 @@ def blocks(members: DataFrame, label: DataFrame) -> DataFrame:
     )
     size = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     open_ = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), size.alias("k"))
-    rows = named.join(open_.where("a < b").select("bucket", "k"), "bucket")
+    rows = named.join(cut(open_.where("a < b").select("bucket", "k"), "near-open"), "bucket")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
     rows = rows.select("bucket", "rep", "component", "own", other)
@@ -240,10 +243,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Here each pair has u > v, so a node's least neighbour is its least below.
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large, "star-large")
+        small = cut(large.groupBy("u").agg(F.min("v").alias("m")), "star-small")
         joined = large.join(small, "u")
         onto = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(onto.unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "star")
