@@ -299,3 +299,36 @@ def test_sessions_refuse_and_go_on():
     s.finish(9999)
     with pytest.raises(ValueError, match="ended"):
         s.push(2, packet, 9999)
+
+
+def test_fit_follows_the_curve():
+    x = [0, 63, 32, 16, 48]
+    straight = (200 + 3 * np.arange(64)).astype(np.int64)
+    heights = posts.fit(straight, x)
+    assert [n for _, n in heights] == [True, True, False, False, False]
+    assert [h for h, _ in heights] == [200, 389, 296, 248, 344]
+    bent = np.where(np.arange(64) < 32, 300, 700)
+    assert posts.fit(bent, x)[2][1]
+
+
+def test_versions_and_labels(spark):
+    got = values(spark, ["1", " First", "2019", "x"], "v string", c=quality.version_code(F.col("v")))
+    assert [c for (c,) in got] == [1, 1, 2, None]
+    assert values(spark, [(1, 2, 48000)], "g int, c int, r int", n=quality.profile_label(*map(F.col, "gcr"))) == [("g1-2ch-48000",)]
+
+
+def test_override_refuses_unknown_fields(spark):
+    with pytest.raises(Exception, match="no such field"):
+        quality.override(spark.createDataFrame([("p", "short.nothing", 1.0)], "profile string, curve string, value double")).collect()
+
+
+def test_damaged_containers(spark):
+    good = container.riff(b"WAVE", [(b"fmt ", bytes(66)), (b"LIST", b"x"), (b"data", b"abc")])
+    bad = [good[:30], b"RIFX" + good[4:], b"", container.riff(b"WAVE", [(b"fmt ", bytes(20)), (b"data", b"")])]
+    rows = [(i, b) for i, b in enumerate([good, *bad])]
+    got = {r.stream: r for r in container.load_container(spark.createDataFrame(rows, "stream bigint, file binary")).collect()}
+    assert bytes(got[0].body) == b"abc" and got[0].extra == ["LIST"] and got[0].error is None
+    assert all(got[i].error for i in range(1, 5))
+    a = spark.createDataFrame([(1, b"abcd"), (2, b"ab"), (3, b"q")], "k int, file binary")
+    b = spark.createDataFrame([(1, b"abXd"), (2, b"ab"), (4, b"q")], "k int, file binary")
+    assert {r.k: (r.same, r["first"]) for r in container.compare_bytes(a, b, "k").collect()} == {1: (False, 2), 2: (True, None), 3: (False, 0), 4: (False, 0)}

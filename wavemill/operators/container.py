@@ -5,9 +5,13 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window as W
 
 #: Fixed by the format: the 66-byte header's fields in order, and their bytes (all little-endian).
@@ -133,3 +137,68 @@ def riff_chunks(data: bytes) -> tuple[bytes, bool, list[tuple[bytes, int, bytes]
         out.append((data[at : at + 4], n, data[at + 8 : at + 8 + n]))
         at += 8 + n + n % 2
     return data[8:12], big, out
+
+
+def build_container(streams: DataFrame, header: str = "header", body: str = "body", big: bool = False) -> DataFrame:
+    """``streams`` with ``file``: header and packet stream as a chunked file. The header stays little-endian in either order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch[header].to_pylist(), batch[body].to_pylist())
+            out = [riff(b"WAVE", [(b"fmt ", h), (b"data", d)], big) for h, d in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "file"])
+
+    schema = T.StructType([*streams.schema.fields, T.StructField("file", T.BinaryType())])
+    return streams.mapInArrow(run, schema)
+
+
+def load_container(files: DataFrame, stream: str = "stream", body: str = "file") -> DataFrame:
+    """stream, header, body, extra (names of other chunks), error of each chunked file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, raw in zip(batch[stream].to_pylist(), batch[body].to_pylist()):
+                try:
+                    kind, _, chunks = riff_chunks(raw)
+                    first = {}
+                    for name, size, data in chunks:
+                        if len(data) < size:
+                            raise ValueError("chunk is truncated")
+                        first.setdefault(name, data)
+                    if kind != b"WAVE" or b"fmt " not in first or b"data" not in first:
+                        raise ValueError("header or data is missing")
+                    if len(first[b"fmt "]) != HEADER:
+                        raise ValueError("header is malformed")
+                    extra = [n.decode("latin-1") for n, _, _ in chunks if n not in (b"fmt ", b"data")]
+                    rows.append((key, first[b"fmt "], first[b"data"], extra, None))
+                except ValueError as e:
+                    rows.append((key, None, None, None, str(e)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (batch.schema.field(stream).type, pa.binary(), pa.binary(), pa.list_(pa.string()), pa.string())
+            names = [stream, "header", "body", "extra", "error"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    rest = [("header", T.BinaryType()), ("body", T.BinaryType()), ("extra", T.ArrayType(T.StringType())), ("error", T.StringType())]
+    schema = T.StructType([files.schema[stream], *(T.StructField(n, k) for n, k in rest)])
+    return files.select(stream, body).mapInArrow(run, schema)
+
+
+def compare_bytes(a: DataFrame, b: DataFrame, key: str, body: str = "file") -> DataFrame:
+    """key, same, first (offset of the first byte that differs; the shorter length if one is a beginning of the other)."""
+    both = a.select(key, F.col(body).alias("_a")).join(b.select(key, F.col(body).alias("_b")), key, "full")
+
+    @pandas_udf("bigint")
+    def offset(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            if p is None or q is None or p == q:
+                out.append(None if p is not None and p == q else 0)
+                continue
+            n = min(len(p), len(q))
+            differ = np.flatnonzero(np.frombuffer(p[:n], np.uint8) != np.frombuffer(q[:n], np.uint8))
+            out.append(int(differ[0]) if len(differ) else n)
+        return pd.Series(out, dtype="Int64")
+
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    return both.select(key, same.alias("same"), F.when(~same, offset("_a", "_b")).alias("first"))

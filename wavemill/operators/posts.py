@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Fixed by the format: the most a curve may lie over or under a fitted line, and the most its mean square may be.
 OVER, UNDER, SQUARE = 60, 30, 500
@@ -65,10 +67,8 @@ def unwrap(stored: list[int], posts: list[int], levels: int) -> tuple[list[int],
 
 def wrapped(heights: Column, posts: list[int], levels: int, back: bool = False) -> Column:
     """``wrap`` (or, with ``back``, ``unwrap``) of a column of arrays."""
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<int>")
-    def run(rows):
+    def run(rows: pd.Series) -> pd.Series:
         return rows.map(lambda y: None if y is None else (unwrap(list(y), posts, levels)[0] if back else wrap(list(y), posts, levels)))
 
     return run(heights)
@@ -123,3 +123,42 @@ def smooth(y: np.ndarray, half: int) -> np.ndarray:
     wide = c * sxx - sx * sx
     slope = np.divide(c * sxy - sx * sy, wide, out=np.zeros(n), where=wide != 0)
     return (sy - slope * sx) / c + slope * x
+
+
+def fit(levels: np.ndarray, x: list[int]) -> list[tuple[int, bool]]:
+    """Heights of posts at ``x`` for a curve of 10-bit levels, and whether each is needed.
+
+    A line over the whole range first; then, post by post in packet order, the line between a post's
+    neighbours is checked against the curve, and where it fails the post takes the curve's own least-squares height.
+    """
+    place = np.arange(len(levels), dtype=np.float64)
+
+    def line(a: int, b: int) -> tuple[float, float]:
+        u, v = place[a : b + 1], levels[a : b + 1].astype(np.float64)
+        slope = ((u - u.mean()) * (v - v.mean())).sum() / max(((u - u.mean()) ** 2).sum(), 1e-9)
+        return slope, v.mean() - slope * u.mean()
+
+    at = lambda s, p: int(np.clip(np.floor(s[0] * p + s[1] + 0.5), 0, 1023))
+    whole = line(x[0], x[1])
+    out = [(at(whole, x[0]), True), (at(whole, x[1]), True)]
+    for i, (low, high) in enumerate(neighbours(x), 2):
+        a, b = x[low], x[high]
+        guess = point(a, out[low][0], b, out[high][0], x[i])
+        drawn = np.array([point(a, out[low][0], b, out[high][0], p) for p in range(a, b + 1)])
+        off = levels[a : b + 1] - drawn
+        if off.max() > OVER or -off.min() > UNDER or (off * off).sum() // len(off) > SQUARE:
+            left, right = line(a, x[i]), line(x[i], b)
+            out.append((int(np.clip((at(left, x[i]) + at(right, x[i])) // 2, 0, 1023)), True))
+        else:
+            out.append((guess, False))
+    return out
+
+
+def fitted(levels: Column, x: list[int]) -> Column:
+    """``fit`` of a column of arrays: a struct of heights and needed flags."""
+    @pandas_udf("heights array<int>, needed array<boolean>")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        done = [fit(np.asarray(r), x) for r in rows]
+        return pd.DataFrame({"heights": [[h for h, _ in d] for d in done], "needed": [[n for _, n in d] for d in done]})
+
+    return run(levels)

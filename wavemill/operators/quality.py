@@ -85,3 +85,44 @@ def plan_errors(plan: DataFrame, stream: str = "stream", at: str = "seq") -> Dat
 
 def quality_share(q: Column) -> Column:
     return N.quality_share(q)
+
+
+#: Scalars of a profile that curves named ``short.<field>`` may override, with their values.
+SCALARS = {"attack": 12.0, "release": 24.0, "bias": -140.0, "peak": -8.0, "tone": 0.5, "noise": 0.25, "limit": 90.0, "carry": 3.0, "gate": -6.0}
+#: Our profile versions: code, label and generation.
+VERSIONS = ((1, "first", 2013), (2, "second", 2019))
+
+
+def override(curves: DataFrame, profile: str = "profile", curve: str = "curve", value: str = "value") -> DataFrame:
+    """profile, field, value: each profile's scalars, those overridden by a curve in single precision. Unknown fields are refused."""
+    spark = curves.sparkSession
+    name = F.substring(F.col(curve), 7, 100)
+    known = F.col(curve).startswith("short.") & name.isin(*SCALARS)
+    field = F.when(known, name).otherwise(F.raise_error(F.concat(F.lit("no such field: "), F.col(curve))))
+    given = curves.select(profile, field.alias("field"), N.f32(F.col(value)).alias("_v"))
+    scalars = spark.createDataFrame(list(SCALARS.items()), "field string, value double")
+    rows = curves.select(profile).distinct().join(F.broadcast(scalars))  # nine fields a profile
+    rows = rows.join(given, [profile, "field"], "left")
+    return rows.select(profile, "field", F.coalesce("_v", "value").alias("value"))
+
+
+def pick_record(index: Column, records: list[list[float]], lerped: int = 4) -> Column:
+    """The record at the whole part of ``index``; its first values move toward the next record's by the rest."""
+    table = F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in records))
+    low = F.floor(index).cast("int")
+    a, b = F.element_at(table, low + 1), F.element_at(table, F.least(low + 2, F.lit(len(records))))
+    moved = F.zip_with(F.slice(a, 1, lerped), F.slice(b, 1, lerped), lambda x, y: x + (y - x) * (index - low))
+    return F.concat(moved, F.slice(a, lerped + 1, len(records[0]) - lerped))
+
+
+def version_code(spelling: Column) -> Column:
+    """The code of a version given as its code, label or generation; null for any other."""
+    text = F.lower(F.trim(spelling))
+    out = F.lit(None).cast("int")
+    for code, label, generation in VERSIONS:
+        out = F.when(text.isin(str(code), label, str(generation)), code).otherwise(out)
+    return out
+
+
+def profile_label(generation: Column, channels: Column, rate: Column) -> Column:
+    return F.format_string("g%d-%dch-%d", generation, channels, rate)

@@ -76,3 +76,17 @@ def prefix_sums(rows: DataFrame, values: dict[str, Column], stream: str = "idx",
     """Running sums of ``values`` over each row's bins."""
     w = _order(stream, at).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumns({name: F.sum(v).over(w) for name, v in values.items()})
+
+
+def band_history(rows: DataFrame, width: int, stream: str = "stream", at: str = "i", value: str = "e") -> DataFrame:
+    """``low`` and ``high``: extremes of the last ``width`` values but the one just before; 0 where there is no history."""
+    w = _order(stream, at).rowsBetween(-width - 1, -2)
+    return rows.withColumn("low", F.coalesce(F.min(value).over(w), F.lit(0.0))).withColumn(
+        "high", F.coalesce(F.max(value).over(w), F.lit(0.0))
+    )
+
+
+def moving_mean(rows: DataFrame, slots: int = 15, stream: str = "stream", at: str = "i", value: str = "e") -> DataFrame:
+    """``mean``: the sum of the last ``slots`` values over ``slots`` + 1, as a ring that starts empty gives it."""
+    w = _order(stream, at).rowsBetween(-slots + 1, 0)
+    return rows.withColumn("mean", F.sum(value).over(w) / (slots + 1))

@@ -700,3 +700,69 @@ def q54_identifiers(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
         "p_partkey", book.alias("book"), posts.book_table(book).alias("book_table"), posts.error_class(kind).alias("error")
     )
+
+
+# Histories, overrides, files -------------------------------------------------------------------
+
+ENERGY = f"{PCM}, en AS (SELECT user_id AS stream, event_id AS i, (sample / 32768.0::DOUBLE) * (sample / 32768.0::DOUBLE) AS e FROM pcm)"
+
+
+def _energies(spark, sf_dir):
+    x = F.col("sample") / 32768.0
+    return A.user_signal(spark, sf_dir).select("stream", "i", (x * x).alias("e"))
+
+
+@query(f"""WITH {ENERGY} SELECT stream, i, coalesce(min(e) OVER w, 0.0::DOUBLE) AS low, coalesce(max(e) OVER w, 0.0::DOUBLE) AS high FROM en
+WINDOW w AS (PARTITION BY stream ORDER BY i ROWS BETWEEN 7 PRECEDING AND 2 PRECEDING)""")
+def q55_band_history(spark, sf_dir):
+    return schedule.band_history(_energies(spark, sf_dir), 6).drop("e")
+
+
+@query(f"""WITH {ENERGY} SELECT stream, i, round(sum(e) OVER (PARTITION BY stream ORDER BY i ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) / 16, 9) + 0.0::DOUBLE AS mean FROM en""")
+def q56_moving_mean(spark, sf_dir):
+    return schedule.moving_mean(_energies(spark, sf_dir)).select("stream", "i", rounded("mean", 9).alias("mean"))
+
+
+FIELD = f"[{', '.join(repr(f) for f in quality.SCALARS)}]"
+
+
+@query(f"""WITH curves AS (SELECT c_nationkey AS profile, list_extract({FIELD}, (c_nationkey % 9 + 1)::INT) AS field, max(c_acctbal) AS v FROM customer GROUP BY c_nationkey),
+scalars AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in quality.SCALARS.items())}) AS t(field, value))
+SELECT p.profile, s.field, coalesce(c.v::FLOAT::DOUBLE, s.value) AS value FROM (SELECT DISTINCT profile FROM curves) p, scalars s LEFT JOIN curves c ON c.profile = p.profile AND c.field = s.field""")
+def q57_override(spark, sf_dir):
+    name = F.element_at(F.array(*(F.lit(f"short.{f}") for f in quality.SCALARS)), (F.pmod("c_nationkey", F.lit(9)) + 1).cast("int"))
+    curves = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("profile"), name.alias("curve")).agg(F.max("c_acctbal").alias("value"))
+    return quality.override(curves)
+
+
+RECORDS = [[float(r * 10 + k) for k in range(6)] for r in range(5)]
+
+
+@query("""WITH p AS (SELECT p_partkey, p_retailprice % 4 AS x FROM part), f AS (SELECT p_partkey, x, floor(x) AS r FROM p)
+SELECT p_partkey, round(r * 10 + (x - r) * 10, 6) AS first, round(r * 10 + 3 + (x - r) * 10, 6) AS fourth, round(r * 10 + 5, 6) AS sixth FROM f""")
+def q58_pick_record(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_retailprice", F.lit(4.0)).alias("x"))
+    rows = rows.withColumn("r", quality.pick_record(F.col("x"), RECORDS))
+    return rows.select("p_partkey", *(F.round(F.element_at("r", k), 6).alias(n) for k, n in ((1, "first"), (4, "fourth"), (6, "sixth"))))
+
+
+@query(f"""WITH {ACCOUNT} SELECT stream, data_size + 66 + 28 AS size, data_size AS parsed_size, (SELECT count(*) FROM packets p WHERE p.stream = account.stream) AS packets, true AS same FROM account""")
+def q59_container_file(spark, sf_dir):
+    a = _accounts(spark, sf_dir)
+    values = {n: F.expr(v.replace("//", "div")) for n, v in HEADER_VALUES.items()}
+    heads = a.select("stream", container.pack_header(**values).alias("header"))
+    streams = container.build_stream(A.packets(spark, sf_dir)).join(heads, "stream")
+    files = container.build_container(streams)
+    loaded = container.load_container(files)
+    walked = container.walk_stream(loaded).groupBy("stream").agg(F.count("payload").alias("packets"))
+    same = container.compare_bytes(files, container.build_container(loaded.select("stream", "header", "body")), "stream")
+    size = files.select("stream", F.octet_length("file").cast("bigint").alias("size"))
+    parsed = loaded.select("stream", container.parse_header(F.col("header")).getField("data_size").alias("parsed_size"))
+    return size.join(parsed, "stream").join(walked, "stream").join(same.select("stream", "same"), "stream")
+
+
+@query()
+def q60_floor_fit(spark, sf_dir):
+    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") == 64)
+    rows = rows.select("idx", posts.fitted(F.transform("x", lambda c: N.level(N.db(c))), POST_X).alias("f"))
+    return rows.select("idx", "f.heights", "f.needed")

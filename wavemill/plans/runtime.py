@@ -42,13 +42,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through the Hadoop file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package when it runs from a checkout."""
     env = spark.sparkContext.environment
