@@ -483,7 +483,9 @@ def repeats(
     long_ = rows.where(F.octet_length("text") >= LENGTH)
     narrow = cut(long_.select("id", "th", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("bigint").alias("n")), "repeat-digests")
     total = narrow.agg(F.sum("n")).first()[0] or 0
-    first = narrow.groupBy("digest").agg(F.min("id").alias("least"))
+    # Written first, so that both sides of the join are dealt out anew and a hot digest can be split.
+    first = narrow.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1")
+    first = cut(first.select("digest", "least"), "repeat-first")
     copies = narrow.join(first, "digest").where("id > least").select("id", "th").distinct()
     copies = cut(copies, "repeat-copies")
     small = copies.count() <= BROADCAST_ROWS
