@@ -393,6 +393,7 @@ def test_bpe_equals_the_library(spark):
     rows = texts(5, 40) + ["a<|endoftext|>b", "  a  b\n\n c 　d", "'s don't I'LL", "a" * 3000, "ab" * 900 + "!!", "日本 語 x", "😀😁 a", "x\x85 y", "\x1c z"]
     df = documents(spark, rows, False).withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(1))
     out = bpe.decode(bpe.encode(df, vocabulary()), vocabulary()).collect()
+    assert sorted(out) == sorted(bpe.encode(df, vocabulary(), decoded="decoded").select(*out[0].__fields__).collect())
     assert len(out) == len(rows)
     for r in out:
         text = rows[r.doc_id] or ""

@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavemill.llm import textnp
 from wavemill.llm.common import small_batches, without
 
 #: Fixed by the vocabulary's format: how byte-level BPE splits a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed by Unicode: the code points of the White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Fragments that a worker keeps before it starts afresh, and the longest that it keeps.
-KEPT_FRAGMENTS, KEPT_CHARS = 400_000, 64
+#: A worker keeps the ids of this many fragments, twice over, and the longest that it keeps.
+KEPT_FRAGMENTS, KEPT_CHARS = 100_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -162,9 +163,6 @@ class Codec:
         return np.frombuffer(b"".join(out), np.int32)
 
     def _plain(self, text: str) -> list[bytes]:
-        for known in (self.known, self.known_pieces):
-            if len(known) > KEPT_FRAGMENTS:
-                known.clear()
         known = self.known
         return [known[f] for f in self.fragments.findall(text)]
 
@@ -178,16 +176,25 @@ class Codec:
 
 
 class _Known(dict):
-    """What ``make`` gives for each text met before."""
+    """What ``make`` gives for each text met of late.
+
+    When full it becomes the old generation, whose texts come back when met again; the rest goes.
+    """
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.make(part)
-        if len(part) <= KEPT_CHARS:
-            self[part] = ids
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.make(part)
+            if len(part) > KEPT_CHARS:
+                return ids
+        if len(self) >= KEPT_FRAGMENTS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
         return ids
 
 
@@ -197,22 +204,36 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` without ``text`` but with ``ids``, the token ids of each whole text."""
+def _encoded(c: Codec, texts: pa.Array) -> pa.ListArray:
+    found = [c.encode(t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+
+
+def _decoded(c: Codec, ids: pa.ListArray) -> pa.Array:
+    rows = (c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x) else b"" for x in ids)
+    return pa.array([r.decode("utf-8", "replace") for r in rows], pa.string())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` without ``text`` but with ``ids``, the token ids of each whole text.
+
+    With ``decoded``, the same pass also decodes the ids into a column of that name.
+    """
     small_batches(docs)
-    rest = without(docs, text, ids).columns
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids, T.ArrayType(T.IntegerType()), False)])
+    rest = without(docs, text, ids, *([decoded] if decoded else [])).columns
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()), False)]
+    fields += [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    schema = T.StructType([*(docs.schema[c] for c in rest), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            found = [c.encode(t) if t else np.zeros(0, np.int32) for t in batch.column(len(rest)).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *found]))
-            column = pa.ListArray.from_arrays(pa.array(ends), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*rest, ids])
+            out = [_encoded(c, batch.column(len(rest)))]
+            out += [_decoded(c, out[0])] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], schema.names)
 
-    return docs.select(*(docs[c] for c in rest), docs[text]).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in rest), docs[text]).mapInArrow(textnp.tidy(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -225,13 +246,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            out = [
-                c.decode(x.values.to_numpy(zero_copy_only=False)).decode("utf-8", "replace") if x.is_valid and len(x) else ""
-                for x in batch.column(at)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(c, batch.column(at))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(textnp.tidy(run), schema)
 
 
 def digests(rows: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -229,7 +229,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score"
                 got = net.probability(np.stack([net.features(data[a:b]) for a, b in zip(offsets, offsets[1:])]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textnp.tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, target: str = "quality", key: str = "doc_id", text: str = "text") -> Network:

@@ -201,7 +201,7 @@ def scan(docs: DataFrame, phrases=None, templates=None, text: str = "text") -> D
                 [*batch.columns[:-1], pa.array(counts), pa.ListArray.from_arrays(at, struct)], [*rest, "n_words", "matches"]
             )
 
-    return docs.select(*(docs[c] for c in rest), docs[text]).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in rest), docs[text]).mapInArrow(textnp.tidy(run), schema)
 
 
 def joined(matches: Column) -> Column:

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import textnp
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """doc_id, n_shingles, digest (of the shingle set; null if empty), bands."""
     small_batches(docs)
     return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(
-        _sketched, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+        textnp.tidy(_sketched), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
     )
 
 
@@ -143,7 +143,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str =
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = rows.mapInArrow(_sets, "doc_id bigint, shingles array<bigint>")
+    sets = rows.mapInArrow(textnp.tidy(_sets), "doc_id bigint, shingles array<bigint>")
     return sets.dropDuplicates(["doc_id"])
 
 

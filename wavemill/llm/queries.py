@@ -169,7 +169,7 @@ def vocabulary() -> str:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()))
+    return bpe.digests(bpe.encode(docs, vocabulary(), decoded="decoded"))
 
 
 def id_remainder(key: Column, n: int) -> Column:

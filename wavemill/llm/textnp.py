@@ -6,13 +6,14 @@ any worker gets the same hash for the same bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about this many bytes, which bounds the temporary arrays.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -59,6 +60,18 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def tidy(run: Callable) -> Callable:
+    """An Arrow pass after which its worker gives freed memory back: workers are kept for later stages."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return passed
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and where each begins (one more than texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):

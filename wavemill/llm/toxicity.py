@@ -146,4 +146,4 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", name: str = "sc
             scores = weights.scores(*textnp.utf8(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textnp.tidy(run), schema)
