@@ -39,7 +39,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the stream, with the digests that show that they decode to it."""
     ship(spark)
     rows = docs.select("doc_id", "source", "text")
-    rows = bpe.decode(bpe.encode(rows, vocabulary()), vocabulary())
+    rows = bpe.encode(rows, vocabulary(), decoded="decoded")
     return bpe.digests(rows.withColumn("token_ids", F.col("ids")))
 
 
