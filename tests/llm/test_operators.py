@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,7 +405,31 @@ def test_bpe_equals_the_library(spark):
 def test_forced_boundaries_lie_in_no_token():
     c = bpe.codec(vocabulary())
     assert not any(not c.inside[a, b] for t in c.id_of for a, b in zip(t, t[1:]))
-    assert c.decode(np.array([c.byte_id[0xC3]])).decode("utf-8", "replace") == "�"
+    assert c.decode_all(np.array([int(c.byte_ids[0xC3])]))[0].tobytes() == b"\xc3"
+    broken = pa.array([[int(c.byte_ids[0xC3])], None, [], [int(c.byte_ids[0x41])]], pa.list_(pa.int32()))
+    assert bpe._decoded(c, broken).to_pylist() == ["�", "", "", "A"]
+    with pytest.raises(ValueError):
+        bpe._decoded(c, pa.array([[len(c.lengths)]], pa.list_(pa.int32())))
+
+
+def test_runs_equal_single_texts(monkeypatch):
+    """Batches cut into runs and very long texts into parts give what the library gives for each text."""
+    from tokenizers import Tokenizer
+
+    library, c = Tokenizer.from_file(vocabulary()), bpe.Codec(vocabulary())
+    rng = random.Random(1)
+    white = [" ", "  ", "\n", "\t ", "\u00a0", "\u3000 ", "\u2003", " \u0085", "\u202f\n", "\x1c ", "\x7f "]
+    word = ["alpha", "Ünïcödé", "日本", "it's", "!!", "x1y", "é", "…", "<|endoftext|>", "😀", "don't", "42"]
+    rows = ["".join(rng.choice(word) + rng.choice(white) for _ in range(rng.randrange(0, 60))) for _ in range(400)] + ["", "word " * 5000, "日本" * 3000]
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(bpe, "RUN_BYTES", size)
+        got = bpe._encoded(c, pa.array([*rows, None]))
+        want = [library.encode(t, add_special_tokens=False).ids for t in rows]
+        assert got.to_pylist() == [*want, []]
+        assert bpe._decoded(c, got).to_pylist() == [*(library.decode(ids, skip_special_tokens=False) for ids in want), ""]
+    # Should two fragments ever have one hash, each is encoded by itself.
+    monkeypatch.setattr(bpe.textnp, "span_hashes", lambda data, begin, end, values: np.zeros(len(begin), np.uint64))
+    assert bpe._encoded(c, pa.array(rows[:20])).to_pylist() == want[:20]
 
 
 # Classifiers
