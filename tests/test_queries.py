@@ -20,3 +20,29 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_what_cannot_be_imported(monkeypatch):
+    """A missing package, or one of its imports missing, costs only its own queries."""
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def refuse(name, *rest, **more):
+        if name == "regex" or name.startswith("wavemill.llm"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        return real(name, *rest, **more)
+
+    gone = [m for m in sys.modules if m.startswith("wavemill.llm") or m == "corpus_pipeline"]
+    held = {m: sys.modules.pop(m) for m in gone}
+    try:
+        monkeypatch.setattr(builtins, "__import__", refuse)
+        monkeypatch.setitem(sys.modules, "wavemill.llm", None)
+        bare = importlib.reload(entry)
+        assert bare.LLM is None and set(bare.queries()) == set(catalog.QUERIES) and set(bare.oracle_sql()) == set(catalog.SQL)
+    finally:
+        monkeypatch.undo()
+        sys.modules.update(held)
+        importlib.reload(entry)
