@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.plans.runtime import cut
+
 #: Arrow batches of documents hold this many rows, so that a batch of long texts stays small.
 BATCH_ROWS = 512
 
@@ -36,3 +39,25 @@ def small_batches(docs: DataFrame) -> None:
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
+
+
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """The file and the number in it of each row of a table that is read from files."""
+    meta = docs.metadataColumn("_metadata")
+    return meta.getField("file_path"), meta.getField("row_index")
+
+
+def file_backed(docs: DataFrame, name: str = "input") -> DataFrame:
+    """``docs`` if its rows have a file and a row number, else a copy written to the shared folder."""
+    try:
+        docs.select(*place(docs))
+        return docs
+    except AnalysisException:
+        return cut(docs, name)
+
+
+def file_order(docs: DataFrame) -> Column:
+    """A number that grows from row to row of a table as its files were written: the part's number, then the row's in it."""
+    path, row = place(docs)
+    part = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).cast("bigint")
+    return F.shiftleft(F.coalesce(part, F.lit(0)), 40) + row
