@@ -7,14 +7,15 @@ mean, greatest and least pooled value over all chunks go through a small hidden
 layer into one probability.
 
 The network is trained on the driver by stochastic gradient descent (Adam) with
-back-propagation through the pooling. The sample is bounded: at most ``SAMPLE``
-labelled documents of each class, in the order of a hash of their id, and of each at most
-``SAMPLE_CHUNKS`` chunks spread evenly over it. Scoring reads every byte of every text, in Arrow
+back-propagation through the pooling, over the same overlapping chunks as scoring. The sample is bounded by ``fit``'s
+parameter ``per_class``: at most so many labelled documents of each class, in the order of a hash of their id, each with its
+whole text. As little text has few patterns, every sampled document, of either class, is also learnt from by a short
+beginning of it. Scoring reads every byte of every text, in Arrow
 batches without a shuffle; the parameters sent to the workers are about 80 kB.
 
 Defined cases: null and empty texts are scored as ``WIDTH`` zero bytes; without labels of
-both classes all scores are the smoothed share of the class there is; labels that are null or
-whose documents are missing are ignored; of several labels of one document all count; null
+both classes, or without documents, all scores are the smoothed share of the class there is (of none: a half); labels that are
+null or whose documents are missing are ignored; of several labels of one document all count; null
 ids are scored but never trained on; an empty table gives an empty result; other
 columns pass through ``score`` untouched, but one of the score's name is replaced.
 """
@@ -36,8 +37,12 @@ from wavemill.llm.common import small_batches, without
 WIDTH, FILTERS, HIDDEN = 5, 16, 16
 BLOCK = 256
 CHUNK = 2 * BLOCK
-SAMPLE, SAMPLE_CHUNKS = 1500, 16
-EPOCHS, BATCH, RATE, DECAY, SEED = 16, 32, 0.01, 1e-4, 20250731
+#: Labelled documents of each class that are learnt from.
+SAMPLE = 1500
+EPOCHS, BATCH, RATE, DECAY, SEED = 10, 32, 0.01, 1e-4, 20250731
+#: Short beginnings are cut down to between all of a first chunk and 2 to the minus so many of it, by class: a very short
+#: beginning of a good text is good, but one of a bad text need not be bad.
+SHORTEST = (2, 6)
 #: Bytes convolved at a time, so that activations stay in the cache.
 PIECE = 1 << 15
 
@@ -98,20 +103,14 @@ def constant(p: float) -> Network:
 
 
 def train(texts: list[bytes], labels: np.ndarray) -> Network:
-    """Fit to chunk samples (as of ``sample_chunks``) and their labels 0 or 1."""
+    """Fit to whole texts and their labels 0 or 1."""
     ones = int(labels.sum())
     if not 0 < ones < len(labels):
         return constant((ones + 1) / (len(labels) + 2))
     rng = np.random.default_rng(SEED)
-    docs = [_chunks(t) for t in texts]
-    # Short cuts of good texts are good too; there are few short texts to learn that from.
-    for i in np.flatnonzero(labels == 1):
-        rows, full = docs[i]
-        n = int(full[0] * 2.0 ** -rng.uniform(0, 6))
-        row = np.zeros((1, CHUNK), np.uint8)
-        row[0, :n] = rows[0, :n]
-        docs.append((row, np.array([n])))
-    labels = np.concatenate([labels, np.ones(ones, labels.dtype)])
+    docs = [_blocks(t) for t in texts]
+    docs += [_blocks(t[: max(1, int(min(len(t), CHUNK) * 2.0 ** -rng.uniform(0, SHORTEST[y])))]) for t, y in zip(texts, labels)]
+    labels = np.concatenate([labels, labels])
     net = Network(
         rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32),
         np.zeros(FILTERS, np.float32),
@@ -140,35 +139,46 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network:
     return net
 
 
-def _chunks(sample: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks of a sampled text as rows, zero-padded, and their lengths."""
-    data = np.frombuffer(sample, np.uint8)
-    rows = np.zeros((max(1, -(-len(data) // CHUNK)), CHUNK), np.uint8)
-    rows.ravel()[: len(data)] = data
-    return rows, np.full(len(rows), min(len(data), CHUNK))
+def _blocks(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """The blocks of a text as rows, each with the beginning of the next, how many places each has, and the length."""
+    data = np.frombuffer(text, np.uint8)
+    places = max(len(data), WIDTH) - WIDTH + 1
+    rows = -(-places // BLOCK)
+    padded = np.zeros(rows * BLOCK + WIDTH - 1, np.uint8)
+    padded[: len(data)] = data
+    at = np.arange(rows)[:, None] * BLOCK + np.arange(BLOCK + WIDTH - 1)
+    return padded[at], np.minimum(BLOCK, places - np.arange(rows) * BLOCK), len(data)
 
 
-def _gradients(net: Network, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> dict[str, np.ndarray]:
-    rows, full = (np.concatenate(x) for x in zip(*docs))
+def _gradients(net: Network, docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) -> dict[str, np.ndarray]:
+    rows, places = (np.concatenate([d[i] for d in docs]) for i in (0, 1))
     sizes = np.array([len(d[0]) for d in docs])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    act = net.activations(np.concatenate([rows.ravel(), np.zeros(WIDTH - 1, np.uint8)])).reshape(len(rows), CHUNK, FILTERS)
-    act = act[:, : CHUNK - WIDTH + 1]
-    for i in np.flatnonzero(full < CHUNK):
-        act[i, max(1, full[i] - WIDTH + 1) :] = -np.inf
+    act = np.zeros((len(rows), BLOCK, FILTERS), np.float32)
+    for k in range(WIDTH):
+        act += net.taps[k][rows[:, k : k + BLOCK]]
+    for i in np.flatnonzero(places < BLOCK):
+        act[i, places[i] :] = -np.inf
     where = act.argmax(axis=1)
-    pooled = np.maximum(np.take_along_axis(act, where[:, None], axis=1)[:, 0] + net.bias, 0)
-    mean = np.add.reduceat(pooled, starts, axis=0) / sizes[:, None]
+    peak = np.take_along_axis(act, where[:, None], axis=1)[:, 0]
+    # A chunk is two blocks; a text of one block is one chunk.
+    chunks = np.maximum(sizes - 1, 1)
+    starts = np.cumsum(chunks) - chunks
+    left = np.repeat(np.cumsum(sizes) - sizes, chunks) + np.arange(chunks.sum()) - np.repeat(starts, chunks)
+    right = left + np.repeat(sizes > 1, chunks)
+    later = peak[right] > peak[left]
+    chosen = np.where(later, right[:, None], left[:, None])
+    pooled = np.maximum(np.maximum(peak[left], peak[right]) + net.bias, 0)
+    mean = np.add.reduceat(pooled, starts, axis=0) / chunks[:, None]
     high, low = np.maximum.reduceat(pooled, starts, axis=0), np.minimum.reduceat(pooled, starts, axis=0)
-    x = np.concatenate([mean, high, low, filled(full[starts])[:, None]], axis=1)
+    x = np.concatenate([mean, high, low, filled(np.array([d[2] for d in docs]))[:, None]], axis=1)
     pre = x @ net.w1 + net.b1
     hidden = np.maximum(pre, 0)
     p = 1 / (1 + np.exp(-np.clip(hidden @ net.w2 + net.b2[0], -30, 30)))
     d = ((p - labels) / len(labels)).astype(np.float32)
     back = np.outer(d, net.w2) * (pre > 0)
     dx = back @ net.w1.T
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    d_pooled = dx[doc, :FILTERS] / sizes[doc, None]
+    doc = np.repeat(np.arange(len(docs)), chunks)
+    d_pooled = dx[doc, :FILTERS] / chunks[doc, None]
     # Greatest and least pass their gradient on to the first chunk that has that value.
     for part, value in ((1, high), (2, low)):
         hit = pooled == value[doc]
@@ -177,41 +187,26 @@ def _gradients(net: Network, docs: list[tuple[np.ndarray, np.ndarray]], labels:
         d_pooled += np.where(hit & (seen == 1), dx[doc, part * FILTERS : (part + 1) * FILTERS], 0)
     d_pooled *= pooled > 0
     taps = np.zeros_like(net.taps)
-    column = np.broadcast_to(np.arange(FILTERS), where.shape)
+    column = np.broadcast_to(np.arange(FILTERS), chosen.shape)
+    place = where[chosen, column]
     for k in range(WIDTH):
-        np.add.at(taps[k], (np.take_along_axis(rows, where + k, axis=1), column), d_pooled)
+        np.add.at(taps[k], (rows[chosen, place + k], column), d_pooled)
     return {"taps": taps, "bias": d_pooled.sum(axis=0), "w1": x.T @ back, "b1": back.sum(axis=0), "w2": hidden.T @ d, "b2": np.array([d.sum()])}
 
 
-def sample_chunks(data: np.ndarray) -> bytes:
-    """At most SAMPLE_CHUNKS whole chunks spread over a text, or the text if it is shorter than one."""
-    if len(data) < CHUNK:
-        return data.tobytes()
-    starts = np.linspace(0, len(data) - CHUNK, min(SAMPLE_CHUNKS, -(-len(data) // BLOCK) - 1)).astype(int)
-    return b"".join(data[s : s + CHUNK].tobytes() for s in starts)
-
-
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, target: str, keep, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE
 ) -> tuple[list[bytes], np.ndarray]:
-    """Chunks and labels of a bounded sample of the label rows for which ``keep`` (of the id) holds."""
-    small_batches(docs)
+    """Whole texts and labels of a bounded sample of the label rows for which ``keep`` (of the id) holds."""
     known = labels.select(labels[key].alias("id"), labels[target].cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & keep(F.col("id")))
     shuffled = F.xxhash64("id", F.lit(SEED))
     each = [known.where(F.col("y") == y).orderBy(shuffled, "id").limit(per_class) for y in (0, 1)]
     picked = each[0].unionByName(each[1])  # at most 2 x per_class rows
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = textnp.utf8(batch.column(2))
-            cut = [sample_chunks(data[a:b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], ["id", "y", "chunks"])
-
-    rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
-    schema = T.StructType([rows.schema["id"], rows.schema["y"], T.StructField("chunks", T.BinaryType())])
-    got = rows.mapInArrow(cut_up, schema).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    return got["chunks"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
+    rows = docs.select(docs[key].alias("id"), F.coalesce(docs[text], F.lit("")).cast("binary").alias("body"))
+    got = rows.join(F.broadcast(picked), "id").select("id", "y", "body").toArrow()
+    got = got.sort_by([("id", "ascending"), ("y", "ascending"), ("body", "ascending")])
+    return got["body"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:
@@ -232,5 +227,8 @@ def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score"
     return docs.mapInArrow(textnp.tidy(run), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep, target: str = "quality", key: str = "doc_id", text: str = "text") -> Network:
-    return train(*labelled_sample(docs, labels, target, keep, key, text))
+def fit(
+    docs: DataFrame, labels: DataFrame, keep, target: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = SAMPLE
+) -> Network:
+    """Train on labelled documents for whose ids ``keep`` holds, at most ``per_class`` of either class."""
+    return train(*labelled_sample(docs, labels, target, keep, key, text, per_class))
