@@ -1,9 +1,13 @@
 """Registered corpus queries against their SQL, and the pipeline against its stages done by hand."""
 
-from collections import Counter
+import hashlib
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from harness import compare
+from pyspark.sql import functions as F
+from test_operators import brute_near, brute_repeats, documents, naive_quality, naive_toxicity, texts
 
 import corpus_pipeline
 from wavemill.llm import queries
@@ -16,9 +20,77 @@ def test_query_agrees_with_sql(spark, name):
     assert compare(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF) == ""
 
 
-def test_pipeline(spark):
-    from test_operators import brute_near
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder of tables like the driver's, with the fixture's texts."""
+    path = tmp_path_factory.mktemp("sf")
+    df = documents(spark, texts(11, 150), repeat=False).withColumn("lang", F.lit("en"))
+    df.repartition(3).write.parquet(f"{path}/documents.parquet")
+    ids = [r.doc_id for r in df.select("doc_id").collect()]
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in ids] + [(None, 1, 1), (9999, 0, 1), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path), {r.doc_id: r.text for r in df.collect()}
+
+
+def sha(body: bytes) -> str:
+    return hashlib.sha256(body).hexdigest()
+
+
+def test_op4_query(spark, small):
+    path, text = small
+    want = brute_repeats(list(text.items()))
+    got = queries.queries()["op4_suffixes"](spark, path).collect()
+    assert len(got) == len(text)
+    for r in got:
+        n_bytes, n_removed, n_spans, left = want[r.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n_bytes, n_removed, n_spans, sha(left))
+
+
+@pytest.mark.parametrize("name, n, out, least", [("op7_toxicity", 5, 0, 0.5), ("op9_quality", 4, 2, 0.7)])
+def test_classifier_queries(spark, small, name, n, out, least):
+    path, text = small
+    got = queries.queries()[name](spark, path).collect()
+    assert {r.doc_id for r in got} == set(text) and len(got) == len(text)
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    if name == "op7_toxicity":
+        weights = queries.toxicity.fit(docs, labels, lambda key: queries.id_remainder(key, 5) != 0)
+        score = lambda t: naive_toxicity(weights, t)
+    else:
+        net = queries.quality_network(spark, docs, path)
+        score = lambda t: naive_quality(net, (t or "").encode())
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == out) and r.predicted == int(r.score >= least)
+        if len(text[r.doc_id] or "") < 3000:
+            assert r.score == pytest.approx(score(text[r.doc_id]), abs=1e-3)
+
 
+def test_op8_query(spark, small):
+    from tokenizers import Tokenizer
+
+    path, text = small
+    library = Tokenizer.from_file(queries.vocabulary())
+    got = queries.queries()["op8_bpe"](spark, path).collect()
+    assert len(got) == len(text)
+    for r in got:
+        ids = library.encode(text[r.doc_id] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want = (len(ids), sha(",".join(map(str, ids)).encode()), sha(decoded.encode()))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+
+
+def test_op10_query(spark, small):
+    path, text = small
+    got = queries.queries()["op10_sharding"](spark, path).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    places = defaultdict(list)
+    for r in got:
+        raw = (text[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        places[r.shard].append(r.slot)
+    assert set(places) <= set(range(40)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = queries.quality_network(spark, docs, SF)
     scored = corpus_pipeline.bytecnn.score(docs, net).where("score >= 0.7").collect()

@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, bytecnn, exact_dedup, knn, licenses, minhash, mixing, sharding, suffixes, toxicity
+from wavemill.llm import bpe, bytecnn, exact_dedup, knn, licenses, minhash, mixing, sharding, suffixes, textnp, toxicity
+from wavemill.llm.common import file_backed
 from wavemill.llm.queries import id_remainder, vocabulary
 
 EXTRA = "doc_id bigint, text string, source string, size int, target string, score double, digest string, bucket int, n int, locator string"
@@ -87,7 +88,7 @@ def test_exact_dedup_null_ids_and_empty(spark):
 
 def test_exact_dedup_over_several_batches(spark, tmp_path):
     for i in range(3):
-        spark.createDataFrame([(f"{k % 4}", i * 10 + k, f"l{i}{k}") for k in range(6)], "digest string, row_id bigint, locator string").coalesce(
+        spark.createDataFrame([(f"{k % 4}", i * 10 + k, f"l{i}{k}", "r") for k in range(6)], "digest string, row_id bigint, locator string, run string").coalesce(
             1
         ).write.mode("append").parquet(str(tmp_path / "d"))
     narrow = spark.read.parquet(str(tmp_path / "d"))
@@ -95,9 +96,47 @@ def test_exact_dedup_over_several_batches(spark, tmp_path):
     assert got == {"0": (24, 6), "1": (25, 6), "2": (22, 3), "3": (23, 3)}
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path, monkeypatch):
+    """A second run is held against the first, and one that is killed is repeated without counting anything twice."""
+    state = f"file://{tmp_path}/state"
+    schema = "doc_id bigint, text string"
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (9, "d")], schema)
+    second = spark.createDataFrame([(4, "a"), (0, "b"), (5, "c"), (6, "c"), (9, "d")], schema)
+    got = {r.row_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(first, state=state, run="1").collect()}
+    assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 9: (9, 1, True)}
+    emitted = []
+
+    def killed(*_):
+        emitted.append(1)
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "_collided", killed)
+        with pytest.raises(RuntimeError):
+            exact_dedup.exact_dedup(file_backed(second), state=state, run="2")
+    assert emitted
+    for _ in range(2):
+        got = sorted((r.row_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(second, state=state, run="2").collect())
+        assert got == [(0, 2, 2), (4, 4, 3), (5, 6, 2), (6, 6, 2), (9, 9, 2)]
+    third = spark.createDataFrame([(7, "a"), (None, "e")], schema)
+    got = sorted((str(r.row_id), r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(third, state=state, run="3").collect())
+    assert got == [("7", 7, 4), ("None", None, 1)]
+
+
+def test_exact_dedup_checks_bytes_of_earlier_runs(spark, tmp_path, monkeypatch):
+    """Should a digest come with another text in a later run, the content met first tells."""
+    schema = "doc_id bigint, text string"
+    state = f"file://{tmp_path}/state"
+    monkeypatch.setattr(exact_dedup, "digests", lambda docs, key, text: docs.select(F.lit("same").alias("digest"), docs[key].alias("row_id"), exact_dedup._locator(docs).alias("locator")))
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: F.lit("same"))
+    exact_dedup.exact_dedup(spark.createDataFrame([(1, "a")], schema), state=state, run="1").collect()
+    rows = exact_dedup.exact_dedup(spark.createDataFrame([(2, "b"), (3, "b")], schema), state=state, run="2").collect()
+    assert sorted((r.row_id, r.keep_id, r.group_size) for r in rows) == [(2, 3, 2), (3, 3, 2)]
+
+
 def test_exact_dedup_collisions_are_split_by_text(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id bigint, text string")
-    df = exact_dedup._file_backed(df)
+    df = file_backed(df)
     bad = spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(),) for t in "ab"], "digest string")
     rows = exact_dedup._by_text(df, bad, "doc_id", "text").collect()
     assert {(r.row_id, r.keeper.row_id, r.group_size) for r in rows} == {(1, 3, 2), (2, 2, 1), (3, 3, 2)}
@@ -165,6 +204,48 @@ def test_minhash_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+def test_minhash_repeated_ids_with_unlike_texts(spark):
+    """An id whose rows have several texts is linked to all that any of them is linked to, in whatever order rows come."""
+    w = [f"w{k}" for k in range(200)]
+    one, two, three = (" ".join(w[a : a + 60]) for a in (0, 60, 120))
+    rows = [(5, one), (1, one), (5, two), (2, two + " more"), (2, three), (7, three), (9, "of its own text"), (9, "and another one")]
+    want = {(i, t): 1 for i, t in rows if i < 9} | {(i, t): 9 for i, t in rows if i == 9}
+    for data in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(data, "doc_id bigint, text string")
+        got = minhash.near_dedup(df).collect()
+        assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter((i, c, i == c) for (i, _), c in want.items())
+
+
+def test_minhash_large_open_buckets(spark, monkeypatch):
+    """Pruning and size classes lose no link: many unlike members of one boilerplate, some of them alike."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 4)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(40):
+        tail = [f"t{i}x{k}" for k in range(rng.randrange(2, 30))]
+        rows.append(" ".join(base + tail))
+        if i % 4 == 0:
+            rows.append(" ".join(base + tail[:-1] + ["z"]))
+    want = brute_near(list(enumerate(rows)))
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(documents(spark, rows, False)).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
+@pytest.mark.parametrize("size", [3, 10, 100])
+def test_recall_of_bands(size):
+    """Pairs at or just over the threshold share a band but for a few in a hundred thousand, however few shingles they have."""
+    rng = np.random.default_rng(size)
+    both, own = 3 * size, size  # similarity 0.75
+    shared = 0
+    for _ in range(3000):
+        x = rng.integers(0, 2**64, both + own, dtype=np.uint64)
+        a, b = np.unique(x), np.unique(x[own:])
+        assert 100 * both >= 75 * len(a)
+        shared += bool(np.any(minhash.bands(minhash.sketch(a)) == minhash.bands(minhash.sketch(b))))
+    assert shared >= 2999
+
+
 def test_minhash_empty_and_null_ids(spark):
     assert minhash.near_dedup(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, None)], "doc_id bigint, text string")
@@ -452,14 +533,55 @@ def test_quality_network(spark):
     assert bytecnn.score(df, none).agg(F.min("score")).first()[0] > 0.9
 
 
-def test_long_texts_score_like_their_parts():
-    net = bytecnn.train([b"abc" * 300, b"xyz" * 300] * 20, np.array([1, 0] * 20))
-    data = np.frombuffer(b"abcd " * 30_000, np.uint8)
-    whole = net.activations(data)
-    assert len(whole) == len(data) - bytecnn.WIDTH + 1
-    peak = np.maximum.reduceat(whole, np.arange(0, len(whole), bytecnn.BLOCK), axis=0)
-    pooled = np.maximum(np.maximum(peak[1:], peak[:-1]) + net.bias, 0)
-    assert np.allclose(net.features(data)[: bytecnn.FILTERS], pooled.mean(axis=0))
+def naive_quality(net, text: bytes) -> float:
+    """The network by its definition, place by place and chunk by chunk."""
+    data = text + b"\0" * (bytecnn.WIDTH - len(text))
+    places = range(len(data) - bytecnn.WIDTH + 1)
+    act = [[sum(float(net.taps[k, data[p + k], f]) for k in range(bytecnn.WIDTH)) for f in range(bytecnn.FILTERS)] for p in places]
+    blocks = [act[i : i + bytecnn.BLOCK] for i in range(0, len(act), bytecnn.BLOCK)]
+    chunks = [a + b for a, b in zip(blocks, blocks[1:])] or blocks
+    pooled = [[max(0.0, max(row[f] for row in c) + float(net.bias[f])) for f in range(bytecnn.FILTERS)] for c in chunks]
+    columns = list(zip(*pooled))
+    x = [sum(c) / len(c) for c in columns] + [max(c) for c in columns] + [min(c) for c in columns]
+    x.append(np.log2(min(max(len(data), bytecnn.WIDTH), bytecnn.CHUNK) / bytecnn.CHUNK))
+    hidden = [max(0.0, sum(v * float(net.w1[i, j]) for i, v in enumerate(x)) + float(net.b1[j])) for j in range(bytecnn.HIDDEN)]
+    z = sum(h * float(net.w2[j]) for j, h in enumerate(hidden)) + float(net.b2[0])
+    return 1 / (1 + np.exp(-z))
+
+
+def small_network():
+    rng = np.random.default_rng(5)
+    texts_ = [bytes(rng.integers(97, 110 if i % 2 else 123, rng.integers(1, 1500)).astype(np.uint8)) for i in range(24)]
+    return texts_, bytecnn.train(texts_, np.arange(24) % 2)
+
+
+def test_network_equals_naive_convolution():
+    """Every chunk of the whole text counts, across the pieces in which a long text is convolved."""
+    texts_, net = small_network()
+    for text in [b"", b"a", b"abcd", b"abcde", *texts_[:6], b"xy" * 9000]:
+        got = net.probability(net.features(np.frombuffer(text, np.uint8))[None])[0]
+        assert got == pytest.approx(naive_quality(net, text), abs=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    texts_, net = small_network()
+    labels = (np.arange(24) % 2).astype(np.float32)
+    docs = [bytecnn._blocks(t) for t in texts_]
+
+    def loss() -> float:
+        p = net.probability(np.stack([net.features(np.frombuffer(t, np.uint8)) for t in texts_]))
+        return float(-np.mean(np.where(labels == 1, np.log(p), np.log(1 - p))))
+
+    grads = bytecnn._gradients(net, docs, labels)
+    for name, at in (("w2", (3,)), ("b1", (2,)), ("bias", (4,)), ("w1", (5, 1)), ("taps", (2, 100, 3)), ("taps", (0, 98, 7))):
+        value = getattr(net, name)
+        old, step = value[at].copy(), 1e-2
+        value[at] = old + step
+        up = loss()
+        value[at] = old - step
+        down = loss()
+        value[at] = old
+        assert float(grads[name][at]) == pytest.approx((up - down) / (2 * step), rel=0.2, abs=2e-4)
 
 
 def test_toxicity(spark):
@@ -474,6 +596,7 @@ def test_toxicity(spark):
     df = documents(spark, rows, False)
     labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(0, 600, 2)] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
     weights = toxicity.fit(df, labels, lambda key: id_remainder(key, 5) != 0)
+    assert weights.bias < 0 < len(weights.feature)
     got = {r.doc_id: r.Score for r in toxicity.score(df, weights, name="Score").collect()}
     assert all(got[i] >= 0.5 for i in range(0, 600, 8)) and got[602] >= 0.5
     assert all(got[i] < 0.5 for i in range(600) if i % 8) and got[600] < 0.5 and got[601] < 0.5
@@ -482,6 +605,43 @@ def test_toxicity(spark):
     assert toxicity.score(df, none, name="p").agg(F.max("p")).first()[0] < 0.5
 
 
+def naive_toxicity(weights, text: str | None) -> float:
+    """The bias and the weight of each distinct word and stem."""
+    import re
+
+    by = dict(zip(weights.feature.tolist(), weights.weight.tolist()))
+    seen = set()
+    for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower()):
+        data = np.frombuffer(w, np.uint8)
+        for k in (len(w), *(k for k in toxicity.STEMS if k < len(w))):
+            h = int(textnp.span_hashes(data, np.array([0]), np.array([k]))[0] >> np.uint64(32))
+            seen.add(h if k == len(w) else h ^ 0x9E3779B9)
+    return 1 / (1 + np.exp(-(weights.bias + sum(by.get(h, 0.0) for h in seen))))
+
+
+def test_toxicity_equals_naive_sums(spark):
+    rows = texts(8, 50) + ["vile vileness VILE", "x " * 70_000 + "vile", "é vilé"]
+    vocabulary_ = sorted({h for t in rows for _, _, hs, _ in toxicity.features(*textnp.utf8(pa.array([t], pa.string()))) for h in hs.tolist()})
+    rng = np.random.default_rng(0)
+    chosen = np.array(vocabulary_, np.uint32)[rng.random(len(vocabulary_)) < 0.3]
+    weights = toxicity.Weights(chosen, rng.normal(0, 1, len(chosen)), -0.3)
+    got = {r.doc_id: r.p for r in toxicity.score(documents(spark, rows, False), weights, name="p").collect()}
+    assert got == pytest.approx({i: naive_toxicity(weights, t) for i, t in enumerate(rows)})
+
+
+def test_classifiers_fit_on_nothing(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
+    nothing, all_ids = empty(spark), lambda key: F.lit(True)
+    for docs in (nothing, documents(spark)):
+        weights = toxicity.fit(docs, labels, all_ids)
+        net = bytecnn.fit(docs, labels, all_ids)
+        assert toxicity.score(documents(spark), weights, name="p").agg(F.max("p")).first()[0] < 1e-9
+        assert {r.p for r in bytecnn.score(documents(spark), net, name="p").collect()} == {0.5}
+    known = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id bigint, toxic int, quality int")
+    assert toxicity.fit(nothing, known, all_ids).bias == -30.0
+    assert bytecnn.fit(nothing, known, all_ids).constant == 0.5
+
+
 # Sharding
 
 
@@ -513,5 +673,44 @@ def test_map_versions(spark, tmp_path):
         load[shard] += heavier[s]
     assert max(load.values()) - min(load.values()) <= 2
     assert sum(a != b for a, b in zip(balanced, new)) < 1000
-    stored = sharding.store_map(spark, [old, balanced, new], str(tmp_path / "map"))
-    assert stored.where("version = 2").count() == 2000 and stored.where("version = 0 and shard <> virtual_slot % 10").count() == 0
+    path = f"file://{tmp_path}/map"
+    for version, shard_of in enumerate([old, balanced, new]):
+        sharding.append_map(spark, path, version, shard_of)
+        assert sharding.last_map(spark, path) == (version, shard_of)
+    with pytest.raises(Exception, match="already exists"):
+        sharding.append_map(spark, path, 1, old)
+    with pytest.raises(ValueError):
+        sharding.next_map(spark, path, weight[:-1], 10)
+
+
+def test_sharding_goes_on_from_its_map(spark, tmp_path):
+    """A second run edits the last version: old rows stay where they are but for the slots that were moved."""
+    path = f"file://{tmp_path}/map"
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randrange(1, 400)) for i in range(900)]
+    more = rows + [(i, "y" * rng.randrange(1, 4000)) for i in range(900, 1100)]
+    schema = "doc_id bigint, text string"
+    one = {r.doc_id: r for r in sharding.place_rows(spark.createDataFrame(rows, schema), 8, map_path=path).collect()}
+    versions = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "map").glob("*/*.parquet")}
+    two = {r.doc_id: r for r in sharding.place_rows(spark.createDataFrame(more, schema), 8, map_path=path).collect()}
+    again = {r.doc_id: r for r in sharding.place_rows(spark.createDataFrame(more, schema), 8, map_path=path).collect()}
+    assert {r.map_version for r in one.values()} == {1} and {r.map_version for r in two.values()} == {2}
+    assert versions.items() <= {p.name: p.stat().st_mtime_ns for p in (tmp_path / "map").glob("*/*.parquet")}.items()
+    stayed = sum(one[i].shard == two[i].shard for i in one)
+    assert 0.5 * len(one) < stayed < len(one)
+    assert sum(two[i].shard == again[i].shard for i in two) > 0.95 * len(two)
+    load = Counter()
+    for r in two.values():
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= 0.02 * max(load.values())
+
+
+def test_sharding_spreads_equal_rows_and_takes_null_ids(spark):
+    rows = [(7, "same text")] * 5000 + [(None, "a"), (None, None), (None, None), (8, "b")]
+    got = sharding.place_rows(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, slots=256).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t or "") + 16) for i, t in rows)
+    load, places = Counter(r.shard for r in got), defaultdict(list)
+    for r in got:
+        places[r.shard].append(r.slot)
+    assert max(load.values()) < 1.2 * len(rows) / 4
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
