@@ -439,23 +439,49 @@ def brute_top(rows, every, k):
     out = set()
     for i, q in data:
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in data if j != i)
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in data if j != i)
             out |= {(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)}
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_knn(spark, block):
+@pytest.mark.parametrize("block, part", [(4096, 4096), (16, 5)])
+def test_knn(spark, block, part, monkeypatch):
+    monkeypatch.setattr(knn, "TILE", 8)
     rng = np.random.default_rng(1)
     centers = rng.normal(0, 1, (6, 8))
     rows = [(i, [float(v) for v in np.float32(centers[i % 6] + rng.normal(0, 0.2, 8))]) for i in range(300)]
     rows += [(300 + i, [0.5] * 8) for i in range(80)]  # one common vector
     rows += [(500, None), (501, []), (502, [1.0, None] + [0.0] * 6), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (None, [1.0] * 8), (510, [1.0, 2.0])]
     df = spark.createDataFrame([(i, x, "c", 1) for i, x in rows], "vec_id bigint, embedding array<float>, cell string, part int")
-    got = {tuple(r) for r in knn.knn(df, knn.divisible(10), block=block).collect()}
+    got = {tuple(r) for r in knn.knn(df, knn.divisible(10), block=block, part=part).collect()}
     assert got == brute_top(rows, 10, 5)
 
 
+@pytest.mark.parametrize("size", [1e6, 6e9])
+def test_knn_large_components(spark, size):
+    """Exact where doubles are not, and where 64 bits don't hold a sum of products on its way."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in np.float32(rng.normal(0, size if i % 3 else 1, 16))]) for i in range(90)]
+    rows += [(90 + i, rows[i][1][:-1] + [rows[i][1][-1] + 0.5]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {tuple(r) for r in knn.knn(df, knn.divisible(5)).collect()}
+    assert got == brute_top(rows, 5, 5)
+
+
+def test_knn_bounds_prune_clustered_vectors(spark):
+    """Vectors in clusters go to few groups; the result is that of brute force."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 1, (40, 16))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    rows = [(i, [float(v) for v in np.float32(3 * centers[i % 40] + rng.normal(0, 0.02, 16))]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    spread, _, _ = knn.replicated(df, knn.divisible(50), 5, "vec_id", "embedding", 4096, 4096)
+    counts = spread.groupBy("is_query").count().collect()
+    moved = {r.is_query: r["count"] for r in counts}
+    assert moved[True] == 24 and moved[False] < 0.8 * len(rows)
+    assert {tuple(r) for r in knn.knn(df, knn.divisible(50)).collect()} == brute_top(rows, 50, 5)
+
+
 def test_knn_edges(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert knn.knn(spark.createDataFrame([], schema), knn.divisible(1)).count() == 0
