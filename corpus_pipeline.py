@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each over all that the one before kept."""
+"""A training corpus from raw documents: five stages, each over all that the one before kept.
+
+Rows with null ids or texts go through every stage (a null text is empty and, as the mix takes words, never taken); an
+empty table gives an empty corpus.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm import bpe, bytecnn, exact_dedup, minhash, mixing
-from wavemill.llm.common import free_names
+from wavemill.llm.common import file_backed, file_order, free_names
 from wavemill.llm.queries import quality_network, vocabulary
 from wavemill.plans.runtime import cut, ship
 
@@ -31,14 +35,21 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training stream: documents as often as their source's target takes them, in training order."""
+    """The training stream: documents as often as their source's target takes them, in training order.
+
+    The order is that of the rows in the written files, part by part.
+    """
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the stream, with the digests that show that they decode to it."""
+    """Token ids of each document of the stream, with the digests that show that they decode to it.
+
+    ``position`` grows along the stream as the stage before wrote it.
+    """
     ship(spark)
-    rows = docs.select("doc_id", "source", "text")
+    docs = file_backed(docs, "stream")
+    rows = docs.select("doc_id", "source", "text", file_order(docs).alias("position"))
     rows = bpe.encode(rows, vocabulary(), decoded="decoded")
     return bpe.digests(rows.withColumn("token_ids", F.col("ids")))
 

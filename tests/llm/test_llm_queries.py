@@ -100,16 +100,36 @@ def test_pipeline(spark):
     near = brute_near([(i, t) for t, i in best.items()])
     keep = sorted(i for i, (_, c) in near.items() if c == i)
     left = docs.where(docs.doc_id.isin(keep))
-    stream = corpus_pipeline.mixing.mix(left)
-    want = Counter(r.doc_id for r in stream.collect())
+    stream = corpus_pipeline.mixing.mix(left, position="at").collect()
     got = corpus_pipeline.run(spark, SF).collect()
-    assert Counter(r.doc_id for r in got) == want
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in stream)
+    # The corpus carries the order of training.
+    got.sort(key=lambda r: r.position)
+    assert len({r.position for r in got}) == len(got)
+    at = {}
+    for r in stream:
+        at.setdefault(r.doc_id, []).append(r["at"])
+    places = [at[r.doc_id].pop(0) for r in got]
+    assert places == sorted(places) and not any(at.values())
     from tokenizers import Tokenizer
 
     library, text = Tokenizer.from_file(queries.vocabulary()), {r.doc_id: r.text for r in left.collect()}
     assert all(r.token_ids == library.encode(text[r.doc_id], add_special_tokens=False).ids for r in got[:50])
 
 
+def test_pipeline_of_nothing_and_of_nulls(spark, small, tmp_path):
+    path, text = small
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    labels = spark.read.parquet(f"{path}/labels.parquet").where("quality = 1")  # all that is known is good
+    some = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("doc_id")
+    for name, rows in (("none", docs.limit(0)), ("nulls", docs.select(some, *docs.columns[1:]))):
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/nulls").cache()
+    assert got.where("position is null").count() == 0 < got.where("doc_id is null").count()
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

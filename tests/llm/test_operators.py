@@ -306,6 +306,30 @@ def test_mixing(spark):
     assert places == sorted(places) and len(places) == sum(len(r.uses) for r in got)
 
 
+def test_positions_invert_the_integrated_schedules(spark):
+    """Each use's position against a fine numeric integral of its source's schedule."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), f"s{rng.randrange(4)}") for i in range(300)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    target = {r.source: r.target for r in got}
+    demand = sum(target.values())
+    grid = np.linspace(0, 1, 200_001)
+    for nth, source in enumerate(sorted(target)):
+        weight = np.interp(grid, *zip(*mixing.SCHEDULES[nth % 3]))
+        used = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        used = used / used[-1] * target[source]
+        start = 0
+        for r in sorted((r for r in got if r.source == source), key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id)):
+            want = []
+            for k in range(2):
+                middle = start + k * r.source_size + r["size"] / 2
+                if r["size"] and middle < r.target:
+                    want.append((k, np.interp(middle, used, grid) * demand))
+            assert [u["pass"] for u in r.uses] == [k for k, _ in want]
+            assert [u.position for u in r.uses] == pytest.approx([p for _, p in want], abs=demand * 1e-4)
+            start += r["size"]
+
+
 def test_mixing_edges(spark):
     assert mixing.plan(empty(spark)).count() == 0
     assert mixing.mix(empty(spark)).count() == 0

@@ -15,7 +15,7 @@ targets stop at ``cap`` times a source, no document is taken more than
 Everything is DataFrame expressions. Running sums over a source are taken in
 three levels (``FAN`` ranges of the shuffled order, ``FAN`` in each of them, the rows of one), so no task holds a source: a source with a
 third of all rows is spread over 4,096 ranges like any other. Sources themselves are a
-dimension: one row each, ordered once in one task.
+dimension: one row each, ordered once in one task, so there may be as many as fit a task.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is
 a source of its own, last in the order; rows with equal ids are ordered by the digest
@@ -113,12 +113,13 @@ def plan(
     carry: bool = False,
 ) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, and ``uses``, the (pass, position) at which the mix takes it."""
-    rows = sized(docs, key, text, source, carry)
     ranges = ["sid", "coarse", "fine"]
+    # Texts are read once for the plan alone; where whole rows go along, they are read again rather than written in between.
+    rows = sized(docs, key, text, source, carry) if carry else cut(sized(docs, key, text, source), "mix-sizes")
+    narrow = sized(docs, key, text, source) if carry else rows
     # At most FAN x FAN rows a source, summed before the shuffle.
-    sums = cut(
-        sized(docs, key, text, source).groupBy(*ranges).agg(F.first("source").alias("source"), F.sum("size").alias("size")), "mix-sums"
-    )
+    sums = narrow.groupBy(*ranges).agg(F.min("source").alias("source"), F.sum("size").alias("size"))
+    sums = cut(sums, "mix-sums")
     below = W.partitionBy("sid", "coarse").orderBy("fine").rowsBetween(W.unboundedPreceding, -1)
     fine = sums.select(*ranges, F.coalesce(F.sum("size").over(below), F.lit(0)).alias("fine_from"))
     lower = W.partitionBy("sid").orderBy("coarse").rowsBetween(W.unboundedPreceding, -1)
