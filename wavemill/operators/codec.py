@@ -8,7 +8,7 @@ order; a block's window needs its neighbours' modes only, and overlap-add is a s
 place. So one long stream uses all tasks both ways.
 
 A packet: 1 bit of mode; per channel 1 bit whether it has a floor, its posts as 8-bit
-levels; then per partition of 16 bins and channel 4 bits of width and the
+levels; then per partition of 16 bins and channel 5 bits of width and the
 residues in two's complement of that width. Channels 0 and 1 are coupled.
 """
 
@@ -43,16 +43,28 @@ def transient_slots(pcm: DataFrame) -> DataFrame:
     return energy.withColumn("r", rise.cast("int")).groupBy("stream", "q").agg(F.max("r").alias("slot"))
 
 
+def reach(current: int, centre: int) -> int:
+    """The last frame, and one, that the choice of the block after one of mode ``current`` at ``centre`` looks at."""
+    return SIZES[current] // 4 + centre + LONG // 2 + SHORT // 4
+
+
+def following_mode(slots: np.ndarray, first: int, current: int, centre: int, cursor: int) -> tuple[int, int]:
+    """The mode of the next block (1: long) and where the scan stopped; a transient within its reach makes it short.
+
+    ``slots`` are those of the quanta from ``first``; what is beyond them has none.
+    """
+    begin = max(cursor, centre) // QUANTUM
+    seen = slots[max(0, begin - first) : max(0, -(-reach(current, centre) // QUANTUM) - first)]
+    at = (np.flatnonzero(seen) + max(begin, first)) * QUANTUM
+    at = at[at > centre]
+    return (0, int(at[0])) if len(at) else (1, cursor)
+
+
 def scan_modes(slots: np.ndarray, frames: int) -> list[int]:
-    """Modes of successive blocks (1: long). The first is short; a transient before the next long block's reach makes it short."""
+    """Modes of successive blocks (1: long). The first is short."""
     modes, current, centre, cursor = [0], 0, 0, 0
     while centre < frames:
-        boundary = SIZES[current] // 4 + centre + LONG // 2 + SHORT // 4
-        following = 1
-        for at in range(max(cursor, centre) // QUANTUM, min(len(slots), -(-boundary // QUANTUM))):
-            if slots[at] and at * QUANTUM > centre:
-                following, cursor = 0, at * QUANTUM
-                break
+        following, cursor = following_mode(slots, 0, current, centre, cursor)
         centre += SIZES[current] // 4 + SIZES[following] // 4
         modes.append(following)
         current = following
@@ -87,6 +99,18 @@ def slopes(n: int, left: int, right: int) -> np.ndarray:
     return out
 
 
+def spectrum(block: np.ndarray, previous: int, following: int) -> np.ndarray:
+    """Coefficients of a block (channels by samples) between neighbours of these modes."""
+    n = block.shape[1]
+    return spectral.lapped(block * slopes(n, SIZES[previous], SIZES[following])) * (4.0 / n)
+
+
+def windowed(spectra: np.ndarray, previous: int, following: int) -> np.ndarray:
+    """What a block of these coefficients adds to the timeline."""
+    n = 2 * spectra.shape[1]
+    return spectral.unlapped(spectra) * slopes(n, SIZES[previous], SIZES[following])
+
+
 def post_bins(n: int) -> np.ndarray:
     """Where a floor has posts: ends, and between them ever wider apart."""
     half = n // 2
@@ -146,9 +170,9 @@ def pack(spectra: np.ndarray, mode: int, steps: float) -> bytes:
             part = r[at : at + PARTITION]
             peak = int(max(part.max(), -part.min() - 1, 0)) if part.any() else -1
             width = peak.bit_length() + 1 if peak >= 0 else 0
-            if width > 15:
+            if width > 31:
                 raise ValueError("residue is out of range")
-            out.append(_bits(width, 4))
+            out.append(_bits(width, 5))
             if width:
                 out.append((part[:, None] >> np.arange(width) & 1).astype(np.uint8).ravel())
     return np.packbits(np.concatenate(out), bitorder="little").tobytes()
@@ -174,7 +198,7 @@ def unpack(payload: bytes, channels: int, steps: float) -> tuple[int, np.ndarray
     residues = np.zeros((channels, n // 2), np.int64)
     for p in range(0, n // 2, PARTITION):
         for r in residues:
-            width = int(take(1, 4)[0])
+            width = int(take(1, 5)[0])
             if width:
                 v = take(PARTITION, width)
                 r[p : p + PARTITION] = v - ((v >> (width - 1)) << width)
@@ -211,8 +235,7 @@ def encode(pcm: DataFrame, channels: int, steps: float = 32.0, least: int = LEAS
                     at = v.field("frame").to_numpy() - starts[i]
                     ok = (at >= 0) & (at < n)
                     block[v.field("channel").to_numpy()[ok], at[ok]] = v.field("sample").to_numpy()[ok] / 32768.0
-                shaped = block * slopes(n, SIZES[prev[i]], SIZES[foll[i]])
-                out.append(pack(shaped @ spectral.cosine_basis(n) * (4.0 / n), mode[i], steps))
+                out.append(pack(spectrum(block, prev[i], foll[i]), mode[i], steps))
             yield pa.RecordBatch.from_arrays(
                 [batch["stream"], batch["seq"], batch["mode"], batch["frames"], pa.array(out, pa.binary())],
                 ["stream", "seq", "mode", "frames", "payload"],
@@ -228,30 +251,34 @@ def decode(packets: DataFrame, channels: int, steps: float = 32.0) -> DataFrame:
     """
     mode = F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(1))
     plan = schedule.plan(packets.withColumn("mode", mode)).withColumn("start", F.col("sample_start") - LONG // 2)
-    rows = plan.select("stream", "start", "previous", "mode", "following", "frames", "payload")
+    rows = plan.select("stream", "start", "previous", "following", "frames", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks in pieces of SHORT frames, channel after channel, so that overlap-add has a row a piece and not a sample."""
+        names = ("stream", "start", "previous", "following", "frames", "payload")
         for batch in batches:
-            prev, foll, bodies = (batch[c].to_pylist() for c in ("previous", "following", "payload"))
-            blocks = []
+            stream, starts, prev, foll, frames, bodies = (batch[c].to_pylist() for c in names)
+            keys, pieces = [], []
             for i, body in enumerate(bodies):
-                m, spectra = unpack(body, channels, steps)
-                n = SIZES[m]
-                blocks.append((spectra @ spectral.cosine_basis(n).T) * slopes(n, SIZES[prev[i]], SIZES[foll[i]]))
-            sizes = [b.size for b in blocks]
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0), *(b.ravel() for b in blocks)])
-            yield pa.RecordBatch.from_arrays(
-                [batch["stream"], batch["start"], batch["frames"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["stream", "start", "frames", "y"],
-            )
-
-    blocks = rows.mapInArrow(run, "stream bigint, start bigint, frames bigint, y array<double>")
-    each = blocks.withColumn("n", (F.size("y") / channels).cast("int")).select(
-        "stream", "start", "frames", "n", F.posexplode("y").alias("pos", "x")
-    )
-    each = each.withColumn("channel", F.floor(F.col("pos") / F.col("n")).cast("int")).withColumn(
-        "frame", F.col("start") + F.pmod("pos", F.col("n"))
-    )
-    inside = each.where((F.col("frame") >= 0) & (F.col("frame") < F.col("frames")))
-    return inside.groupBy("stream", "channel", "frame").agg(F.sum("x").alias("x"))
+                y = windowed(unpack(body, channels, steps)[1], prev[i], foll[i])
+                first, last = starts[i] // SHORT, (starts[i] + y.shape[1] - 1) // SHORT
+                wide = np.zeros((channels, (last - first + 1) * SHORT))
+                wide[:, starts[i] - first * SHORT :][:, : y.shape[1]] = y
+                for k in range(max(first, 0), min(last, (frames[i] - 1) // SHORT) + 1):
+                    keys.append((stream[i], k, starts[i], frames[i]))
+                    pieces.append(wide[:, (k - first) * SHORT :][:, :SHORT].ravel())
+            ends = (np.arange(len(pieces) + 1) * channels * SHORT).astype(np.int32)
+            flat = np.concatenate([np.zeros(0), *pieces])
+            columns = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 4)]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, ["stream", "piece", "start", "frames", "y"])
+
+    parts = rows.mapInArrow(run, "stream bigint, piece bigint, start bigint, frames bigint, y array<double>")
+    zeros = F.array_repeat(F.lit(0.0), channels * SHORT)
+    ordered = F.array_sort(F.collect_list(F.struct("start", "y")))
+    total = F.aggregate(ordered, zeros, lambda s, e: F.zip_with(s, e["y"], lambda a, b: a + b))
+    sums = parts.groupBy("stream", "piece").agg(F.first("frames").alias("frames"), total.alias("y"))
+    each = sums.select("stream", "piece", "frames", F.posexplode("y").alias("pos", "x"))
+    place = F.col("piece") * SHORT + F.pmod("pos", F.lit(SHORT))
+    channel = F.floor(F.col("pos") / SHORT).cast("int")
+    return each.select("stream", channel.alias("channel"), place.alias("frame"), "x", "frames").where("frame < frames").drop("frames")

@@ -20,6 +20,27 @@ def cosine_basis(n: int) -> np.ndarray:
     return np.cos(np.pi / (2 * n) * (2 * i + 1 + n / 2) * (2 * k + 1))
 
 
+@lru_cache(maxsize=16)
+def _turns(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phases before and after the transform that make a Fourier transform a lapped cosine transform."""
+    shift = (1 + n / 2) / 2
+    return np.exp(-1j * np.pi / n * np.arange(n)), np.exp(-2j * np.pi / n * shift * (np.arange(n // 2) + 0.5))
+
+
+def lapped(x: np.ndarray) -> np.ndarray:
+    """The lapped cosine transform of rows of n samples, n / 2 bins each, by a Fourier transform."""
+    before, after = _turns(x.shape[-1])
+    return (np.fft.fft(x * before, axis=-1)[..., : x.shape[-1] // 2] * after).real
+
+
+def unlapped(c: np.ndarray) -> np.ndarray:
+    """The transpose of ``lapped``: n / 2 bins to n aliased samples."""
+    n = 2 * c.shape[-1]
+    before, after = _turns(n)
+    wide = np.concatenate([c * after, np.zeros(c.shape)], axis=-1)
+    return (np.fft.fft(wide, axis=-1) * before).real
+
+
 def window(n: int) -> np.ndarray:
     half = np.sin(np.pi / 2 * np.sin(np.pi / n * (np.arange(n // 2) + 0.5)) ** 2)
     return np.concatenate([half, half[::-1]])

@@ -50,6 +50,12 @@ def rounded(x, digits: int = 6):
     return F.round(x, digits) + 0.0
 
 
+def _rows64(spark, sf_dir):
+    """All spectrum rows that hold anything, as 64 bins: shorter ones end in zeros, and bins beyond belong to no transform of 64."""
+    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") > 0)
+    return rows.withColumn("x", F.slice(F.concat("x", F.array_repeat(F.lit(0.0), 64)), 1, 64))
+
+
 # Samples ---------------------------------------------------------------------------------------
 
 
@@ -178,7 +184,7 @@ def q12_windowed_frames(spark, sf_dir):
 FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(32)) AS k))
 SELECT idx, k, round(sum(coeff * b), 6) + 0.0::DOUBLE AS x FROM spec JOIN basis USING (bin) GROUP BY idx, k""")
 def q13_mdct(spark, sf_dir):
-    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") == 64)
+    rows = _rows64(spark, sf_dir)
     out = rows.select("idx", F.posexplode(spectral.mdct(F.col("x"), 64)).alias("k", "x"))
     return out.select("idx", "k", rounded("x").alias("x"))
 
@@ -212,7 +218,7 @@ def q14_overlap_add(spark, sf_dir):
 FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(33)) AS k))
 SELECT idx, k, round(pow(sum(coeff * c), 2) + pow(sum(coeff * s), 2), 6) + 0.0::DOUBLE AS power FROM spec JOIN wave USING (bin) GROUP BY idx, k""")
 def q15_power_spectrum(spark, sf_dir):
-    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") == 64)
+    rows = _rows64(spark, sf_dir)
     out = rows.select("idx", F.posexplode(spectral.power(F.col("x"), 64)).alias("k", "power"))
     return out.select("idx", "k", rounded("power").alias("power"))
 
@@ -353,7 +359,7 @@ PAIRS = f"{RESIDUE}, pairs AS (SELECT a.idx, a.bin, a.q AS m, b.q AS a FROM res
 
 def _pairs(spark, sf_dir):
     q = lambda e: floors.residue(e, F.lit(0.0625))
-    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") == 64)
+    rows = _rows64(spark, sf_dir)
     both = F.arrays_zip(F.slice("x", 1, 32).alias("m"), F.slice("x", 33, 32).alias("a"))
     rows = rows.select("idx", F.posexplode(both).alias("bin", "p"))
     return rows.select("idx", "bin", q(F.col("p.m")).alias("m"), q(F.col("p.a")).alias("a"))
@@ -601,7 +607,7 @@ def q48_pair_strength(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir, size: int) -> str:
-    """User signals cut into chunks of ``size`` samples, written in one file a chunk number for a stream to read."""
+    """User signals cut into chunks of ``size`` samples, written for a stream to read."""
     from pyspark.sql.window import Window as W
 
     rows = A.user_signal(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("stream").orderBy("i")) - 1)
@@ -609,28 +615,29 @@ def _chunks(spark, sf_dir, size: int) -> str:
     parts = F.array_sort(F.collect_list(F.struct("k", (F.col("sample") / 32768.0).alias("s"))))
     chunks = rows.groupBy("stream", "seq").agg(F.transform(parts, lambda e: e["s"]).alias("samples"))
     path = scratch(spark, "chunks")
-    chunks.withColumn("eos", F.lit(False)).select("stream", "seq", "samples", "eos").coalesce(1).write.parquet(path)
+    # All chunks of a stream in one file, as chunks of a trigger may come in any order but those of later files come later.
+    chunks.withColumn("eos", F.lit(False)).select("stream", "seq", "samples", "eos").repartition("stream").write.parquet(path)
     return path
 
 
 @query(f"""WITH {PCM}, k AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, sample FROM pcm),
 n AS (SELECT stream, count(*) AS n FROM k GROUP BY stream),
-f AS (SELECT stream, k // 16 - d AS q, sample, n FROM k JOIN n USING (stream), (SELECT unnest([0, 1]) AS d) WHERE k // 16 - d >= 0)
-SELECT stream, q, count(*) AS n, sum(sample)::BIGINT AS total FROM f WHERE q * 16 + 32 <= n GROUP BY stream, q""")
+f AS (SELECT stream, k, k // 16 - d AS q, sample, n FROM k JOIN n USING (stream), (SELECT unnest([0, 1]) AS d) WHERE k // 16 - d >= 0)
+SELECT stream, q, (k - q * 16)::INT AS pos, sample FROM f WHERE q * 16 + 32 <= n""")
 def q43_streaming_frames(spark, sf_dir):
     chunks = spark.readStream.schema(overlap.CHUNKS).parquet(_chunks(spark, sf_dir, 10))
     frames = overlap.run_once(overlap.sliding_frames(chunks, 32, 16), scratch(spark, "frames"), scratch(spark, "log"))
-    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * 32768.0).cast("bigint")
-    return frames.select("stream", "q", F.size("samples").cast("bigint").alias("n"), total.alias("total"))
+    each = frames.select("stream", "q", F.posexplode("samples").alias("pos", "x"))
+    return each.select("stream", "q", "pos", (F.col("x") * 32768.0).cast("int").alias("sample"))
 
 
 @query(f"""WITH {PCM}, k AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, sample FROM pcm)
-SELECT stream, count(*) AS n, sum(sample)::BIGINT AS total FROM k GROUP BY stream""")
+SELECT stream, k AS place, sample FROM k""")
 def q44_streaming_overlap_add(spark, sf_dir):
     chunks = spark.readStream.schema(overlap.CHUNKS).parquet(_chunks(spark, sf_dir, 16))
     done = overlap.run_once(overlap.overlap_add(chunks, 16), scratch(spark, "pcm"), scratch(spark, "log"))
-    each = done.select("stream", F.explode("samples").alias("s"))
-    return each.groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.col("s") * 32768.0).cast("bigint").alias("total"))
+    each = done.select("stream", "start", F.posexplode("samples").alias("pos", "x"))
+    return each.select("stream", (F.col("start") + F.col("pos")).alias("place"), (F.col("x") * 32768.0).cast("int").alias("sample"))
 
 
 # Codec -----------------------------------------------------------------------------------------
@@ -640,13 +647,15 @@ def _as_stream(spark, sf_dir):
     return A.pcm(spark, sf_dir).select(F.lit(0).cast("bigint").alias("stream"), "channel", "frame", "sample")
 
 
-@query(f"WITH {PCM} SELECT channel, count(*) AS n, true AS close FROM pcm GROUP BY channel")
+#: Residues so fine that decoding and rounding gives every sample back.
+FINE = 65536.0
+
+
+@query(f"WITH {PCM} SELECT channel, frame, sample FROM pcm")
 def q49_codec_round_trip(spark, sf_dir):
-    pcm = _as_stream(spark, sf_dir)
-    back = codec.decode(codec.encode(pcm, 2, least=0), 2)
-    pairs = pcm.join(back, ["stream", "channel", "frame"], "left").withColumn("s", N.domain(F.col("sample")))
-    m = quality.metrics(pairs, "s", "x", ("channel",))
-    return m.select("channel", "n", ((F.col("corr") > 0.999) & (F.col("rms") < 0.02)).alias("close"))
+    """Every sample through windows, transforms, packets and overlap-add, and back."""
+    back = codec.decode(codec.encode(_as_stream(spark, sf_dir), 2, steps=FINE, least=0), 2, steps=FINE)
+    return back.select("channel", "frame", N.half_away(F.col("x") * 32768.0).cast("int").alias("sample"))
 
 
 @query(f"""WITH {PCM}, e AS (SELECT channel, frame // 64 AS q, sum((sample / 32768.0::DOUBLE) * (sample / 32768.0::DOUBLE)) AS e FROM pcm GROUP BY channel, frame // 64),
@@ -661,15 +670,37 @@ def q50_transient_slots(spark, sf_dir):
 POST_X = [0, 63, 16, 48, 32, 8, 24, 40, 56]
 
 
-@query(f"""WITH {LEVELS} SELECT idx, sum(level // 4)::BIGINT AS total, true AS same FROM levels WHERE bin IN ({', '.join(map(str, POST_X))}) GROUP BY idx""")
+PLACES = "(VALUES " + ", ".join(f"({k + 1}, {x})" for k, x in enumerate(POST_X)) + ") AS p(k, x)"
+
+
+def _guess(k: int) -> str:
+    """SQL for the line below post ``k`` (from 0) between its nearest earlier posts."""
+    low, high = posts.neighbours(POST_X)[k - 2]
+    a, b, x0, x1 = f"y[{low + 1}]", f"y[{high + 1}]", POST_X[low], POST_X[high]
+    return f"({a} + sign({b} - {a}) * (abs({b} - {a}) * {POST_X[k] - x0} // {x1 - x0}))::BIGINT"
+
+
+STORED = ", ".join(["y[1]", "y[2]", *(f"stored(y[{k + 1}] - {_guess(k)}, {_guess(k)})" for k in range(2, len(POST_X)))])
+for _k in range(2, len(POST_X)):
+    _off, _g = f"(y[{_k + 1}] - {_guess(_k)})", _guess(_k)
+    STORED = STORED.replace(
+        f"stored(y[{_k + 1}] - {_g}, {_g})",
+        f"CASE WHEN {_off} >= 0 AND {_off} < least(256 - {_g}, {_g}) THEN 2 * {_off} WHEN {_off} < 0 AND -{_off} <= least(256 - {_g}, {_g}) THEN -2 * {_off} - 1 "
+        f"ELSE abs({_off}) + least(256 - {_g}, {_g}) - ({_off} < 0)::INT END",
+    )
+
+
+@query(f"""WITH {LEVELS}, rows2 AS (SELECT idx, list(level // 4 ORDER BY k) AS y FROM levels JOIN {PLACES} ON bin = x GROUP BY idx),
+kept AS (SELECT idx, y, [{STORED}] AS stored FROM rows2)
+SELECT idx, unnest(range({len(POST_X)}))::INT AS k, unnest(y)::INT AS height, unnest(stored)::INT AS stored FROM kept""")
 def q51_floor_wrap(spark, sf_dir):
-    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") == 64)
+    """Stored residuals, and the heights that come back from them."""
     level = lambda k: N.multiplier_level(N.level(N.db(F.element_at("x", k + 1))), F.lit(1)).cast("int")
-    rows = rows.select("idx", F.array(*(level(k) for k in POST_X)).alias("y"))
+    rows = _rows64(spark, sf_dir).select("idx", F.array(*(level(k) for k in POST_X)).alias("y"))
     rows = rows.withColumn("stored", posts.wrapped(F.col("y"), POST_X, 256))
     rows = rows.withColumn("back", posts.wrapped(F.col("stored"), POST_X, 256, True))
-    total = F.aggregate("y", F.lit(0).cast("bigint"), lambda s, v: s + v)
-    return rows.select("idx", total.alias("total"), (F.col("back") == F.col("y")).alias("same"))
+    each = rows.select("idx", F.posexplode(F.arrays_zip(F.col("back").alias("height"), "stored")).alias("k", "p"))
+    return each.select("idx", "k", "p.height", "p.stored")
 
 
 @query(f"""WITH {ACCUMULATED}, s AS (SELECT idx, part, (n_a + n_b)::DOUBLE AS n, (sx_a + sx_b)::DOUBLE AS sx, (sy_a + sy_b)::DOUBLE AS sy, (sxx_a + sxx_b)::DOUBLE AS sxx, (sxy_a + sxy_b)::DOUBLE AS sxy FROM moments),
@@ -763,6 +794,10 @@ def q59_container_file(spark, sf_dir):
 
 @query()
 def q60_floor_fit(spark, sf_dir):
-    rows = A.spectrum_rows(spark, sf_dir).where(F.size("x") == 64)
+    rows = _rows64(spark, sf_dir)
     rows = rows.select("idx", posts.fitted(F.transform("x", lambda c: N.level(N.db(c))), POST_X).alias("f"))
     return rows.select("idx", "f.heights", "f.needed")
+
+
+# Queries of other modules register themselves.
+from wavemill.plans import catalog_packets  # noqa: E402, F401

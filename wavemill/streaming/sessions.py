@@ -1,10 +1,15 @@
-"""A decoding session per stream: packets in, finished samples out, whatever the batches.
+"""Sessions per stream whose output does not depend on how the input is cut into batches.
 
+Decoding: packets in, finished samples out.
 A block can be windowed only when the block after it is known, so each waits for the next packet;
 samples before the middle of the newest windowed block are final and leave. State per
 stream is one waiting packet and less than two blocks of samples. The row with ``eos`` ends a stream:
 the last block is windowed as if a long one followed, and output stops at the declared count of frames. A
 packet out of order, after the end, or one that ends early is an error and changes nothing.
+
+Encoding: chunks of whole frames in, packets out. A block leaves as soon as the mode of the next one is certain, which
+takes all samples that the choice looks at (``codec.reach``); so at most about that many frames are held, whatever the chunks. The row
+with ``eos`` ends a stream and lets go the blocks that wait. The packets are those of the batch encoder.
 """
 
 from __future__ import annotations
@@ -16,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wavemill.operators import spectral
-from wavemill.operators.codec import LONG, SIZES, slopes, unpack
+from wavemill.operators.codec import (
+    LEAST_FRAMES, LONG, QUANTUM, RISE, SIZES, following_mode, pack, reach, spectrum, unpack, windowed,
+)
 
 PACKETS = "stream bigint, seq bigint, payload binary, frames bigint, eos boolean"
 OUT = "stream bigint, start bigint, channel int, samples array<double>"
@@ -60,7 +66,7 @@ class Session:
         """Add the waiting block at its place and let go what no later block reaches."""
         mode, spectra = unpack(self.waiting, self.channels, self.steps)
         n = SIZES[mode]
-        block = (spectra @ spectral.cosine_basis(n).T) * slopes(n, SIZES[self.before], SIZES[following])
+        block = windowed(spectra, self.before, following)
         place = self.base - n // 2 - self.at
         if place < 0:  # a long block's window is zero up to the middle of a short one before it
             block, place = block[:, -place:], 0
@@ -92,3 +98,105 @@ def decode_session(packets: DataFrame, channels: int, steps: float = 32.0) -> Da
         yield pd.DataFrame(out, columns=["stream", "start", "channel", "samples"])
 
     return packets.groupBy("stream").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+CHUNKS = "stream bigint, seq bigint, samples array<int>, eos boolean"
+CODED = "stream bigint, seq bigint, mode int, payload binary, frames bigint"
+ENCODING = "due bigint, done boolean, numbers array<bigint>, before array<double>, slots array<int>, held array<double>"
+
+
+class Encoder:
+    """The encoder of one stream; ``push`` and ``finish`` give the (seq, mode, payload) of blocks that are certain."""
+
+    def __init__(self, channels: int, steps: float, least: int = LEAST_FRAMES, state: tuple | None = None) -> None:
+        self.channels, self.steps, self.least = channels, steps, least
+        self.due, self.done, numbers, before, slots, held = state or (0, False, [0] * 8, [], [], [])
+        #: Frames so far, first held frame, first held slot; block number, its centre, modes before and of it, where its scan stopped.
+        self.frames, self.base, self.first, self.seq, self.centre, self.previous, self.current, self.cursor = map(int, numbers)
+        self.before = np.asarray(before, np.float64).reshape(channels, -1)
+        self.slots, self.held = np.asarray(slots, np.int64), np.asarray(held, np.float64).reshape(channels, -1)
+
+    @property
+    def state(self) -> tuple:
+        numbers = [self.frames, self.base, self.first, self.seq, self.centre, self.previous, self.current, self.cursor]
+        return self.due, self.done, numbers, self.before.ravel().tolist(), self.slots.tolist(), self.held.ravel().tolist()
+
+    def push(self, seq: int, samples: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """Take interleaved 16-bit samples of whole frames."""
+        if self.done:
+            raise ValueError("the stream has ended")
+        if seq != self.due:
+            raise ValueError(f"chunk {seq} came where {self.due} was due")
+        if len(samples) % self.channels:
+            raise ValueError("a chunk holds whole frames")
+        self.due += 1
+        self.held = np.concatenate([self.held, np.asarray(samples, np.float64).reshape(-1, self.channels).T / 32768.0], axis=1)
+        self.frames += len(samples) // self.channels
+        out = []
+        # Large chunks are worked off piece by piece, so that what is held stays as it was.
+        while True:
+            self._find_slots(self.frames // QUANTUM)
+            if -(-reach(self.current, self.centre) // QUANTUM) * QUANTUM > self.frames:
+                return out
+            out.append(self._block())
+
+    def finish(self) -> list[tuple[int, int, bytes]]:
+        if self.done:
+            raise ValueError("the stream has ended")
+        if self.frames < self.least:
+            raise ValueError(f"a stream has {self.frames} frames; {self.least} are needed")
+        self.done, out = True, []
+        self._find_slots(-(-self.frames // QUANTUM))
+        while self.centre < self.frames:
+            out.append(self._block())
+        out.append(self._packet(1))
+        self.held, self.slots = self.held[:, :0], self.slots[:0]
+        return out
+
+    def _find_slots(self, until: int) -> None:
+        """Flag the quanta up to ``until`` in which the energy of some channel rises suddenly."""
+        for q in range(self.first + len(self.slots), until):
+            at = q * QUANTUM - self.base
+            e = (self.held[:, at : at + QUANTUM] ** 2).sum(axis=1)
+            rises = self.before.shape[1] > 0 and bool((e > RISE * self.before.mean(axis=1) + 1e-4).any())
+            self.slots = np.append(self.slots, int(rises))
+            self.before = np.concatenate([self.before, e[:, None]], axis=1)[:, -8:]
+
+    def _block(self) -> tuple[int, int, bytes]:
+        """The packet of the waiting block, now that the next one's mode is certain."""
+        following, self.cursor = following_mode(self.slots, self.first, self.current, self.centre, self.cursor)
+        out = self._packet(following)
+        self.centre += (SIZES[self.current] + SIZES[following]) // 4
+        self.previous, self.current, self.seq = self.current, following, self.seq + 1
+        keep = max(self.base, min(self.centre - LONG // 2, (self.first + len(self.slots)) * QUANTUM))
+        self.held, self.base = self.held[:, keep - self.base :], keep
+        old = max(0, min(len(self.slots), max(self.cursor, self.centre) // QUANTUM - self.first))
+        self.slots, self.first = self.slots[old:], self.first + old
+        return out
+
+    def _packet(self, following: int) -> tuple[int, int, bytes]:
+        n = SIZES[self.current]
+        start = self.centre - n // 2
+        block = np.zeros((self.channels, n))
+        low, high = max(start, self.base), min(start + n, self.base + self.held.shape[1])
+        if high > low:
+            block[:, low - start : high - start] = self.held[:, low - self.base : high - self.base]
+        return self.seq, self.current, pack(spectrum(block, self.previous, following), self.current, self.steps)
+
+
+def encode_session(chunks: DataFrame, channels: int, steps: float = 32.0, least: int = LEAST_FRAMES) -> DataFrame:
+    """Packets (``CODED``) of a stream of chunks (``CHUNKS``); ``frames`` is known from the last ones on."""
+
+    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        encoder, out = Encoder(channels, steps, least, state.get if state.exists else None), []
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        for seq, samples, eos in zip(rows["seq"], rows["samples"], rows["eos"]):
+            done = encoder.push(int(seq), np.asarray(samples if samples is not None else [], np.float64))
+            out += [(key[0], *packet, None) for packet in done]
+            if eos:
+                out += [(key[0], *packet, encoder.frames) for packet in encoder.finish()]
+        state.update(encoder.state)
+        pdf = pd.DataFrame(out, columns=["stream", "seq", "mode", "payload", "frames"])
+        yield pdf.astype({"frames": "Int64"})
+
+    return chunks.groupBy("stream").applyInPandasWithState(run, CODED, ENCODING, "append", GroupStateTimeout.NoTimeout)
