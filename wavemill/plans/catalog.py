@@ -800,4 +800,4 @@ def q60_floor_fit(spark, sf_dir):
 
 
 # Queries of other modules register themselves.
-from wavemill.plans import catalog_packets  # noqa: E402, F401
+from wavemill.plans import catalog_masking, catalog_packets  # noqa: E402, F401
