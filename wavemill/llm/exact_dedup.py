@@ -88,7 +88,7 @@ def stream_state(narrow: DataFrame, path: str, state: str | None = None, files_p
 
     Files that the log in ``state`` has are not read again.
     """
-    spark = narrow.sparkSession
+    spark, fresh, batches = narrow.sparkSession, state is None, []
     state = state or scratch(spark, "dedup-state")
     classes = (
         spark.readStream.schema(narrow.schema)
@@ -104,6 +104,7 @@ def stream_state(narrow: DataFrame, path: str, state: str | None = None, files_p
 
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/classes/batch-{number}")
+        batches.append(number)
 
     with _disk_state(spark):
         query = (
@@ -121,10 +122,14 @@ def stream_state(narrow: DataFrame, path: str, state: str | None = None, files_p
         latest = spark.read.schema(classes.schema).parquet(f"{state}/classes/*")
     except AnalysisException:  # no file, no batch
         return spark.createDataFrame([], classes.schema)
+    if fresh and len(batches) == 1:
+        return latest
     # A digest is emitted by each batch that touches it; all its values only grow, but for the first, which stays.
-    return latest.groupBy("digest").agg(
+    # Written, so that a join with it deals out both sides anew and Spark can split a hot digest.
+    latest = latest.groupBy("digest").agg(
         F.max("keeper").alias("keeper"), F.min("first").alias("first"), F.max("group_size").alias("group_size")
     )
+    return cut(latest, "dedup-classes")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -167,14 +172,13 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", state:
     repeated with its name before another begins; what it had done is not done again.
     """
     spark, lasting = docs.sparkSession, state is not None
-    state = state or scratch(spark, "dedup-state")
     run = run or f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     docs = file_backed(docs, "dedup-input")
-    path = f"{state}/digests/{run}"
+    path = f"{state}/digests/{run}" if lasting else scratch(spark, "dedup-digests")
     if not (lasting and _there(spark, path)):
         digests(docs, key, text).withColumn("run", F.lit(run)).write.mode("overwrite").parquet(path)
     narrow = spark.read.parquet(path)
-    classes = stream_state(narrow, f"{state}/digests/*", state)
+    classes = stream_state(narrow, f"{state}/digests/*" if lasting else path, state)
     touched = classes.join(narrow.select("digest").distinct(), "digest", "left_semi") if lasting else classes
     rows = narrow.join(classes, "digest").select("row_id", "locator", "digest", "keeper", "group_size")
     bad = cut(_collided(docs, touched, text, run if lasting else None), "dedup-collided")
