@@ -17,7 +17,9 @@ which depends on its bytes alone:
 
 Documents are worked on in packs of about ``PACK`` bytes, and a pack asks about an anchor or a context once
 however often it has it, so a line that a third of all documents share costs one
-entry a pack. Buckets and blocks have bounded size, as their number follows the bytes. Each step is an
+entry a pack. Buckets and blocks hold about ``BUCKET_BYTES`` each, as their number follows the bytes, and there are
+several to a task, so that one is never a task's whole work; an anchor that every pack has adds to its own
+bucket 8 bytes a pack, and to its block a context a pack (under 100 bytes), which is 25 MB a TB. Each step is an
 exchange by key, so lost tasks are recomputed alone, and long steps are written to the shared folder.
 
 Defined cases: null texts are empty; texts under ``LENGTH`` bytes lose nothing; texts of any length are
@@ -43,6 +45,8 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text in a pack, and for each bucket of anchors or block of contexts.
 PACK, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Buckets and blocks for each shuffle partition, at least.
+BLOCKS_A_TASK = 4
 #: Rows up to this many go to every executor (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 LAST = 2**63 - 1
@@ -490,7 +494,7 @@ def repeats(
     copies = cut(copies, "repeat-copies")
     small = copies.count() <= BROADCAST_ROWS
     fresh = long_.join(F.broadcast(copies) if small else copies, ["id", "th"], "left_anti")
-    blocks = max(8, -(-total // bucket_bytes))
+    blocks = max(BLOCKS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     asked = fresh.mapInArrow(ask_anchors(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_anchors, ROWS)
     shared = asked.groupBy("uid").applyInArrow(anchors_by_doc, "id bigint, th bigint, shared binary")
     shared = cut(shared, "repeat-anchors")
