@@ -32,14 +32,14 @@ def mid_side(m: Column, s: Column) -> Column:
     return F.struct((m + s).alias("left"), (m - s).alias("right"))
 
 
+#: Fixed by the method: both sides count this much.
+DAMPED = 0.94
+
+
 def point_hypot(first: Column, second: Column, reversal: float) -> Column:
-    """The signed strength of a pair: sums where signs agree, the weaker held against the stronger where not."""
-    x, y = F.abs(first * 0.94), F.abs(second * 0.94)
-    return (
-        F.when((first > 0) & (second > 0), x + y)
-        .when((first > 0) & (first > -second), x - y * reversal)
-        .when(first > 0, -(y - x * reversal))
-        .when(second < 0, -(x + y))
-        .when(-first > second, -(x - y * reversal))
-        .otherwise(y - x * reversal)
-    )
+    """The signed strength of a pair: equal signs add up; else the stronger less its share of the weaker, with the stronger's sign."""
+    a, b = F.abs(first) * DAMPED, F.abs(second) * DAMPED
+    lead = F.when(a > b, first).otherwise(second)
+    agree = (first > 0) == (second > 0)
+    strength = F.when(agree, a + b).otherwise(F.greatest(a, b) - F.least(a, b) * reversal)
+    return strength * F.signum(F.when(agree, F.when(first == 0, second).otherwise(first)).otherwise(lead))

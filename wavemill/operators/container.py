@@ -78,12 +78,18 @@ def accounting(packets: DataFrame, rate: int, frames: Column, seek: int = 0, sho
 
 def build_stream(packets: DataFrame, seek: bytes = b"", stream: str = "stream") -> DataFrame:
     """stream, body: the seek table, then size and bytes of each packet in order. A packet over 65,535 bytes is refused."""
-    size = F.octet_length("payload")
-    checked = F.when(size <= 0xFFFF, size).otherwise(F.raise_error(F.lit("packet is too large")))
-    one = F.concat(little_endian(checked, 2), F.col("payload"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", one.alias("b"))))
-    body = F.aggregate(ordered, F.lit(seek), lambda s, e: F.concat(s, e["b"]))
-    return packets.groupBy(stream).agg(body.alias("body"))
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        parts = [seek]
+        for payload in table["payload"].to_pylist():
+            if len(payload) > 0xFFFF:
+                raise ValueError("packet is too large")
+            parts += [struct.pack("<H", len(payload)), payload]
+        return pa.table({stream: table[stream][:1], "body": pa.array([b"".join(parts)], pa.binary())})
+
+    rows = packets.select(stream, "seq", "payload")
+    return rows.groupBy(stream).applyInArrow(join, T.StructType([rows.schema[stream], T.StructField("body", T.BinaryType())]))
 
 
 def walk_stream(streams: DataFrame, seek: int = 0, stream: str = "stream") -> DataFrame:
@@ -139,13 +145,13 @@ def riff_chunks(data: bytes) -> tuple[bytes, bool, list[tuple[bytes, int, bytes]
     return data[8:12], big, out
 
 
-def build_container(streams: DataFrame, header: str = "header", body: str = "body", big: bool = False) -> DataFrame:
-    """``streams`` with ``file``: header and packet stream as a chunked file. The header stays little-endian in either order."""
+def build_container(streams: DataFrame, header: str = "header", body: str = "body", big: bool = False, extra: list[tuple[bytes, bytes]] = ()) -> DataFrame:
+    """``streams`` with ``file``: header, further chunks and packet stream as a chunked file. The header stays little-endian in either order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch[header].to_pylist(), batch[body].to_pylist())
-            out = [riff(b"WAVE", [(b"fmt ", h), (b"data", d)], big) for h, d in pairs]
+            out = [riff(b"WAVE", [(b"fmt ", h), *extra, (b"data", d)], big) for h, d in pairs]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "file"])
 
     schema = T.StructType([*streams.schema.fields, T.StructField("file", T.BinaryType())])

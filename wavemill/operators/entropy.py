@@ -139,9 +139,23 @@ def decode_symbols(rows: DataFrame, lengths: list[int], count: str, payload: str
     return rows.mapInArrow(run, _with(rows, name, T.ArrayType(T.IntegerType())))
 
 
+#: A book whose lengths come in at most so many runs is a few comparisons; any other is a table that is joined.
+RUNS = 32
+
+
 def bit_cost(rows: DataFrame, lengths: list[int], keys: tuple[str, ...], symbol: str = "symbol") -> DataFrame:
     """bits, bytes a group of symbols takes; a symbol without a codeword is refused."""
-    size = F.element_at(F.array(*(F.lit(n) for n in lengths)), F.col(symbol).cast("int") + 1)
+    ends = [i for i in range(1, len(lengths) + 1) if i == len(lengths) or lengths[i] != lengths[i - 1]]
+    if len(ends) <= RUNS:
+        size = F.when(F.col(symbol) < 0, 0)
+        for end in ends:
+            size = size.when(F.col(symbol) < end, lengths[end - 1])
+        size = size.otherwise(0)
+    else:
+        # One row an entry: a book has 2^14 at most.
+        table = rows.sparkSession.createDataFrame(list(enumerate(lengths)), "_entry bigint, _bits int")
+        rows = rows.join(F.broadcast(table), F.col(symbol) == F.col("_entry"), "left")
+        size = F.coalesce("_bits", F.lit(0))
     size = F.when(size > 0, size).otherwise(F.raise_error(F.lit("entry has no codeword")))
     out = rows.groupBy(*keys).agg(F.sum(size.cast("bigint")).alias("bits"))
     return out.withColumn("bytes", F.ceil(F.col("bits") / 8))

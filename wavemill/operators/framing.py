@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from wavemill.functions import numeric as N
 
 
+#: Up to this many rows of a few numbers go to every executor; the others are met by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """``rows`` to be broadcast if they are counted to be few. A key of few values would send a large side to few tasks."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def sliding(samples: DataFrame, width: int, hop: int, frame: str = "frame", whole: bool = True, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
     """``samples`` with (q, pos): one row for each frame of ``width`` every ``hop`` that a sample is in.
 
@@ -25,7 +34,7 @@ def sliding(samples: DataFrame, width: int, hop: int, frame: str = "frame", whol
     if not whole:
         return rows
     last = samples.groupBy(*keys).agg(F.max(frame).alias("_last"))
-    rows = rows.join(F.broadcast(last) if not keys else last, list(keys))
+    rows = rows.join(small_side(last), list(keys))
     return rows.where(F.col("q") * hop + width - 1 <= F.col("_last")).drop("_last")
 
 
@@ -64,8 +73,30 @@ def overlap_add(blocks: DataFrame, place: Column, value: str = "y", keys: tuple[
     return blocks.groupBy(*keys, place.alias("frame")).agg(F.sum(value).alias(value))
 
 
-def gather(plan: DataFrame, samples: DataFrame, stream: str = "stream") -> DataFrame:
-    """Samples of each planned block, by place: zero before the stream and after it."""
-    wanted = plan.withColumn("frame", F.explode(F.sequence(F.col("sample_start"), F.col("sample_end") - 1)))
-    wanted = wanted.withColumn("pos", (F.col("frame") - F.col("sample_start")).cast("int"))
-    return wanted.join(samples, [stream, "frame"], "left").withColumn("sample", F.coalesce("sample", F.lit(0)))
+def regions(prime: DataFrame | None, tail: DataFrame | None, samples: DataFrame, stream: str = "stream") -> DataFrame:
+    """``samples`` (stream, frame, sample) with what lies before and after them: ``prime`` (stream, k, sample) ends where the
+    stream begins, ``tail`` begins where it ends."""
+    out = samples.select(stream, "frame", "sample")
+    if prime is not None:
+        size = prime.groupBy(stream).agg((F.max("k") + 1).alias("_n"))
+        rows = prime.join(small_side(size), stream)
+        out = out.unionByName(rows.select(stream, (F.col("k") - F.col("_n")).cast("bigint").alias("frame"), "sample"))
+    if tail is not None:
+        size = samples.groupBy(stream).agg((F.max("frame") + 1).alias("_n"))
+        rows = tail.join(small_side(size), stream)
+        out = out.unionByName(rows.select(stream, (F.col("k") + F.col("_n")).cast("bigint").alias("frame"), "sample"))
+    return out
+
+
+def gather(plan: DataFrame, samples: DataFrame, stream: str = "stream", piece: int = 256) -> DataFrame:
+    """stream, seq, s of each planned block (seq, sample_start, sample_end): its samples by place, 0 where there are none.
+
+    Samples are met in pieces, so the join has a row a piece and not a sample.
+    """
+    pieces = samples.groupBy(stream, F.floor(F.col("frame") / piece).alias("piece")).agg(F.collect_list(F.struct("frame", "sample")).alias("s"))
+    first, last = F.floor(F.col("sample_start") / piece), F.floor((F.col("sample_end") - 1) / piece)
+    wanted = plan.select(stream, "seq", "sample_start", "sample_end", F.explode(F.sequence(first, last)).alias("piece"))
+    met = wanted.join(pieces, [stream, "piece"], "left").groupBy(stream, "seq", "sample_start", "sample_end")
+    got = met.agg(F.map_from_entries(F.flatten(F.collect_list(F.coalesce("s", F.array().cast(pieces.schema["s"].dataType))))).alias("m"))
+    places = F.sequence(F.col("sample_start"), F.col("sample_end") - 1)
+    return got.select(stream, "seq", F.transform(places, lambda at: F.coalesce(F.try_element_at("m", at), F.lit(0))).alias("s"))

@@ -83,10 +83,6 @@ def plan_errors(plan: DataFrame, stream: str = "stream", at: str = "seq") -> Dat
     return rows.withColumn("error", error).where(F.col("error").isNotNull()).select(stream, at, "error")
 
 
-def quality_share(q: Column) -> Column:
-    return N.quality_share(q)
-
-
 #: Scalars of a profile that curves named ``short.<field>`` may override, with their values.
 SCALARS = {"attack": 12.0, "release": 24.0, "bias": -140.0, "peak": -8.0, "tone": 0.5, "noise": 0.25, "limit": 90.0, "carry": 3.0, "gate": -6.0}
 #: Our profile versions: code, label and generation.
@@ -126,3 +122,8 @@ def version_code(spelling: Column) -> Column:
 
 def profile_label(generation: Column, channels: Column, rate: Column) -> Column:
     return F.format_string("g%d-%dch-%d", generation, channels, rate)
+
+
+def profile_description(generation: Column, channels: Column, rate: Column, layout: Column) -> Column:
+    """The label with what it leaves out: the order of the channels."""
+    return F.concat_ws("-", profile_label(generation, channels, rate), layout)

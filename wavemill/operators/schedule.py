@@ -9,10 +9,34 @@ from pyspark.sql.window import Window as W
 SHORT, LONG = 256, 2048
 
 
+#: Places of a stream that are ranked in one task; running values go over such parts in two levels.
+PART = 1 << 16
+
+
 def _order(stream: str, at: str) -> W:
     return W.partitionBy(stream).orderBy(at)
 
 
+def two_level(rows: DataFrame, stream: str, at: str, values: dict[str, tuple[Column, Column]], part: int = PART) -> DataFrame:
+    """``rows`` with running values over a stream's order, without a task that holds a stream.
+
+    ``values`` names, for each column, an aggregate and its neutral value: max or sum of an expression over all rows before a row.
+    Parts of the order are summed first; a window over parts, one row each, gives what is before a part, and a window
+    within the part gives the rest.
+    """
+    rows = rows.withColumn("_part", F.floor(F.col(at) / part).cast("bigint"))
+    inside = W.partitionBy(stream, "_part").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(stream).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(stream, "_part").agg(*(agg(v).alias(f"_s_{n}") for n, (agg, v) in values.items()))
+    sums = sums.select(stream, "_part", *(agg(f"_s_{n}").over(before).alias(f"_b_{n}") for n, (agg, _) in values.items()))
+    rows = rows.withColumns({f"_i_{n}": agg(v).over(inside) for n, (agg, v) in values.items()}).join(sums, [stream, "_part"])
+    for name, (agg, _) in values.items():
+        a, b = F.col(f"_b_{name}"), F.col(f"_i_{name}")
+        both = F.greatest(a, b) if agg is F.max else F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+        rows = rows.withColumn(name, both).drop(f"_b_{name}", f"_i_{name}")
+    return rows.drop("_part")
+
+
 def plan(modes: DataFrame, stream: str = "stream", at: str = "seq", short: int = SHORT, long: int = LONG) -> DataFrame:
     """previous, current, following, sample_start, sample_end, advance of each block (mode 1: long).
 
@@ -37,14 +61,13 @@ def transient_queue(flags: DataFrame, stream: str = "stream", at: str = "i", fla
     return flags.withColumn("slot", slot.cast("int"))
 
 
-def history_counter(flags: DataFrame, stream: str = "stream", at: str = "i", flag: str = "flags", most: int = 24) -> DataFrame:
+def history_counter(flags: DataFrame, stream: str = "stream", at: str = "i", flag: str = "flags", most: int = 24, part: int = PART) -> DataFrame:
     """``history``: quanta since the last reset (flag 4) before this one, at most ``most``."""
-    w = _order(stream, at)
-    n = F.row_number().over(w) - 1
-    rows = flags.withColumn("_n", n)
-    reset = F.max(F.when(F.col(flag).bitwiseAND(F.lit(4)) != 0, F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, -1))
-    count = F.when(reset.isNull(), F.col("_n")).otherwise(F.col("_n") - reset - 1)
-    return rows.withColumn("history", F.least(F.lit(most), count).cast("int")).drop("_n")
+    rows = two_level(flags, stream, at, {"_n": (F.sum, F.lit(1))}, part).withColumn("_n", F.coalesce("_n", F.lit(0)))
+    reset = F.when(F.col(flag).bitwiseAND(F.lit(4)) != 0, F.col("_n"))
+    rows = two_level(rows, stream, at, {"_reset": (F.max, reset)}, part)
+    count = F.when(F.col("_reset").isNull(), F.col("_n")).otherwise(F.col("_n") - F.col("_reset") - 1)
+    return rows.withColumn("history", F.least(F.lit(most), count).cast("int")).drop("_n", "_reset")
 
 
 def transition_code(modes: DataFrame, stream: str = "stream", at: str = "seq") -> DataFrame:
@@ -64,12 +87,15 @@ def runs(modes: DataFrame, stream: str = "stream", at: str = "seq", most: int =
     return rows.withColumn("tail", F.least(F.lit(most), F.col("run") - 1)).drop("_island")
 
 
-def leaky_peak(rows: DataFrame, decay: float, stream: str = "stream", at: str = "idx", value: str = "peak") -> DataFrame:
-    """``leaky``: a peak that sinks by ``decay`` a block until a higher one comes."""
-    w = _order(stream, at)
-    n = F.row_number().over(w).cast("double")
-    raised = rows.withColumn("_n", n).withColumn("_r", F.col(value) + F.col("_n") * decay)
-    return raised.withColumn("leaky", F.max("_r").over(w) - F.col("_n") * decay).drop("_n", "_r")
+def leaky_peak(
+    rows: DataFrame, decay: float, stream: str = "stream", at: str = "idx", value: str = "peak", carried: float | None = None, part: int = PART
+) -> DataFrame:
+    """``leaky``: a peak that sinks by ``decay`` a block until a higher one comes; ``carried`` is the peak before the first block."""
+    rows = two_level(rows, stream, at, {"_n": (F.sum, F.lit(1))}, part).withColumn("_n", F.coalesce("_n", F.lit(0)) + 1)
+    raised = F.col(value) + F.col("_n") * F.lit(float(decay))
+    rows = two_level(rows, stream, at, {"_top": (F.max, raised)}, part)
+    top = F.greatest(raised, F.col("_top"), F.lit(carried).cast("double")) if carried is not None else F.greatest(raised, F.col("_top"))
+    return rows.withColumn("leaky", top - F.col("_n") * F.lit(float(decay))).drop("_n", "_top")
 
 
 def prefix_sums(rows: DataFrame, values: dict[str, Column], stream: str = "idx", at: str = "bin") -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window as W
 
 
 @lru_cache(maxsize=16)
@@ -153,21 +154,36 @@ def extrapolate(history: np.ndarray, taps: np.ndarray, count: int) -> np.ndarray
     return np.array(out, np.float32)
 
 
-def lpc_tail(samples: DataFrame, order: int, count: int, stream: str = "stream", at: str = "i", value: str = "sample") -> DataFrame:
-    """stream, k, y: each stream carried on by ``count`` predicted samples. A group is one stream's training window."""
+def lpc_tail(
+    samples: DataFrame, order: int, count: int, stream: str = "stream", at: str = "i", value: str = "sample", window: int = 4096
+) -> DataFrame:
+    """stream, k, y: each stream carried on by ``count`` predicted samples, learnt from its last ``window`` samples.
+
+    Only those are grouped, so a group is one stream's training window.
+    """
+    last = F.row_number().over(W.partitionBy(stream).orderBy(F.desc(at)))
+    recent = samples.select(stream, at, value).withColumn("_last", last).where(F.col("_last") <= window).drop("_last")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(at)[value].to_numpy(np.float64) / 32768.0
-        x = x[-4096:]
         r = np.array([x[lag:] @ x[: len(x) - lag] if lag < len(x) else 0.0 for lag in range(order + 1)])
         y = extrapolate(np.concatenate([np.zeros(order), x]), predictor(r), count)
         return pd.DataFrame({stream: pdf[stream].iloc[0], "k": np.arange(count), "y": y.astype(np.float64)})
 
-    return samples.groupBy(stream).applyInPandas(run, f"{stream} bigint, k bigint, y double")
+    return recent.groupBy(stream).applyInPandas(run, f"{stream} bigint, k bigint, y double")
 
 
-def dc_filter(samples: DataFrame, c: float = 0.9921875, stream: str = "stream", at: str = "i", value: str = "sample") -> DataFrame:
-    """stream, at, y: a one-pole high-pass in single precision along each stream."""
+def dc_filter(
+    samples: DataFrame, c: float = 0.9921875, stream: str = "stream", at: str = "i", value: str = "sample", block: int = 1 << 16, warm: int = 1 << 13
+) -> DataFrame:
+    """stream, at, y: a one-pole high-pass in single precision along each stream.
+
+    A stream is worked on in blocks of ``block`` places, so that no task holds it whole. A block also gets the ``warm`` places
+    before it, after which what the filter knew earlier has faded to less than a rounding (``c`` ** ``warm`` < 1e-27).
+    """
+    own = F.floor(F.col(at) / block).cast("bigint")
+    late = F.pmod(at, F.lit(block)) >= block - warm
+    rows = samples.select(stream, at, value, F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("_block"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(at)
@@ -176,6 +192,8 @@ def dc_filter(samples: DataFrame, c: float = 0.9921875, stream: str = "stream",
         for i, d in enumerate(np.diff(x, prepend=np.float32(0))):
             last = np.float32(d + np.float32(pole * last))
             y[i] = last
-        return pa.table({stream: table[stream], at: table[at], "y": pa.array(y.astype(np.float64))})
+        here = pa.array(table[at].to_numpy() // block == table["_block"].to_numpy())
+        out = pa.table({stream: table[stream], at: table[at], "y": pa.array(y.astype(np.float64))})
+        return out.filter(here)
 
-    return samples.select(stream, at, value).groupBy(stream).applyInArrow(run, f"{stream} bigint, {at} bigint, y double")
+    return rows.groupBy(stream, "_block").applyInArrow(run, f"{stream} bigint, {at} bigint, y double")

@@ -534,7 +534,7 @@ SELECT o_orderkey, round(q, 9) AS share, round(a.v + (z.v - a.v) * ((q - a.b) /
 FROM q JOIN axis a ON q >= a.b JOIN axis z ON z.i = a.i + 1 AND q < z.b""")
 def q40_quality_interp(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.max("o_totalprice").alias("p"))
-    rows = o.withColumn("q", quality.quality_share(F.col("p") / 50000.0)).withColumn("c", quality.interpolate(F.col("q")))
+    rows = o.withColumn("q", N.quality_share(F.col("p") / 50000.0)).withColumn("c", quality.interpolate(F.col("q")))
     return rows.select(
         "o_orderkey", F.round("q", 9).alias("share"), F.round("c.value", 5).alias("lowpass"), F.col("c.extrapolated").alias("extrapolated")
     )
@@ -592,10 +592,9 @@ def q47_bit_fields(spark, sf_dir):
     )
 
 
-@query(f"""WITH {PAIRS} SELECT idx, bin, round(CASE WHEN m > 0 AND a > 0 THEN abs(m * 0.94::DOUBLE) + abs(a * 0.94::DOUBLE)
-WHEN m > 0 AND m > -a THEN abs(m * 0.94::DOUBLE) - abs(a * 0.94::DOUBLE) * 0.18::DOUBLE WHEN m > 0 THEN -(abs(a * 0.94::DOUBLE) - abs(m * 0.94::DOUBLE) * 0.18::DOUBLE)
-WHEN a < 0 THEN -(abs(m * 0.94::DOUBLE) + abs(a * 0.94::DOUBLE)) WHEN -m > a THEN -(abs(m * 0.94::DOUBLE) - abs(a * 0.94::DOUBLE) * 0.18::DOUBLE)
-ELSE abs(a * 0.94::DOUBLE) - abs(m * 0.94::DOUBLE) * 0.18::DOUBLE END, 6) + 0.0::DOUBLE AS strength, m + a AS "left", m - a AS "right" FROM pairs""")
+@query(f"""WITH {PAIRS}, s AS (SELECT *, 0.94::DOUBLE * list_max([abs(m), abs(a)]) AS big, 0.94::DOUBLE * list_min([abs(m), abs(a)]) AS small,
+CASE WHEN abs(m) > abs(a) OR (sign(m) = sign(a)) THEN sign(m) ELSE sign(a) END AS side, m * a > 0 OR (m <= 0 AND a < 0) OR (m < 0 AND a <= 0 AND a <> 0) AS together FROM pairs)
+SELECT idx, bin, round(CASE WHEN together THEN (big + small) * CASE WHEN m > 0 THEN 1 ELSE -1 END WHEN m = 0 AND a = 0 THEN 0 ELSE (big - 0.18::DOUBLE * small) * side END, 6) + 0.0::DOUBLE AS strength, m + a AS "left", m - a AS "right" FROM s""")
 def q48_pair_strength(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
     side = C.mid_side(F.col("m"), F.col("a"))

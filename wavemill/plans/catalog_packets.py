@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wavemill.functions import numeric as N
-from wavemill.operators import books, codec, entropy, floors, packets, setup
-from wavemill.plans.catalog import FINE, LEVELS, LENGTHS, MONO, PCM, RESIDUE, _as_stream, _classes, _rows64, query
+from wavemill.operators import books, codec, container, entropy, floors, framing, packets, posts, quality, setup
+from wavemill.plans.catalog import (
+    ACCOUNT, FINE, HEADER_VALUES, LEVELS, LENGTHS, MONO, PCM, RESIDUE, _accounts, _as_stream, _classes, _rows64, query,
+)
 from wavemill.plans.runtime import scratch, table
+from wavemill.sources import adapters as A
 from wavemill.streaming import overlap, sessions
 
 WORDS = books.Book(1, tuple(LENGTHS))
@@ -188,8 +191,72 @@ def q70_chunk_invariance(spark, sf_dir):
 SELECT block, channel, frame, (row_number() OVER (PARTITION BY block ORDER BY frame, channel) - 1)::INT AS place, sample FROM f""")
 def q71_interleave(spark, sf_dir):
     """Frame-major order of channels, stopped at the declared count, in blocks of delivery."""
-    from wavemill.operators import framing
-
     rows = framing.interleave(_as_stream(spark, sf_dir), 4500).withColumn("block", framing.delivery_block(F.col("frame"), 1000))
     place = F.row_number().over(W.partitionBy("block").orderBy("frame", "channel")) - 1
     return rows.select("block", "channel", "frame", place.alias("place"), "sample")
+
+
+@query(f"""WITH {ACCOUNT}, p AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 AS seq, size FROM packets)
+SELECT stream, p.seq, p.size, a.data_size, a.frames AS total_frames FROM p JOIN account a USING (stream)""")
+def q81_container_session(spark, sf_dir):
+    """Containers that come in pieces of 40 bytes: every packet, and the header's fields."""
+    accounts = _accounts(spark, sf_dir)
+    values = {n: F.expr(v.replace("//", "div")) for n, v in HEADER_VALUES.items()}
+    heads = accounts.select("stream", container.pack_header(**values).alias("header"))
+    files = container.build_container(container.build_stream(A.packets(spark, sf_dir)).join(heads, "stream"))
+    size = F.octet_length("file")
+    cut = F.explode(F.sequence(F.lit(0), F.floor((size - 1) / 40))).alias("seq")
+    pieces = files.select("stream", "file", cut).select(
+        "stream", "seq", F.substring("file", (F.col("seq") * 40 + 1).cast("int"), F.lit(40)).alias("body"), (F.col("seq") == F.floor((size - 1) / 40)).alias("eos")
+    )
+    path = scratch(spark, "pieces")
+    pieces.repartition("stream").write.parquet(path)
+    stream = spark.readStream.schema(sessions.BYTES).parquet(path)
+    got = overlap.run_once(sessions.read_session(stream), scratch(spark, "packets"), scratch(spark, "log"))
+    got = got.withColumn("h", container.parse_header(F.col("header")))
+    return got.select("stream", "seq", F.octet_length("payload").cast("bigint").alias("size"), "h.data_size", "h.total_frames")
+
+
+@query(f"""WITH {PCM}, m AS (SELECT max(frame) + 1 AS n FROM pcm WHERE channel = 0), s AS (SELECT frame, sample FROM pcm WHERE channel = 0
+UNION ALL SELECT k - 300 AS frame, k % 50 AS sample FROM (SELECT unnest(range(300)) AS k) UNION ALL SELECT n + k, -(k % 70) FROM m, (SELECT unnest(range(500)) AS k)),
+b AS (SELECT unnest(range(0, n // 128 + 6)) AS seq FROM m), e AS (SELECT seq, unnest(range(200))::INT AS pos FROM b)
+SELECT seq, pos, coalesce(s.sample, 0)::INT AS sample FROM e LEFT JOIN s ON s.frame = seq * 128 - 400 + pos""")
+def q82_gather(spark, sf_dir):
+    """Samples of planned blocks, with a region before the stream, one after it, and zeros beyond."""
+    own = _as_stream(spark, sf_dir).where("channel = 0").select("stream", "frame", "sample")
+    k = F.col("id").alias("k")
+    zero = F.lit(0).cast("bigint").alias("stream")
+    prime = spark.range(300).select(zero, k, F.pmod("id", F.lit(50)).cast("int").alias("sample"))
+    tail = spark.range(500).select(zero, k, (-F.pmod("id", F.lit(70))).cast("int").alias("sample"))
+    blocks = own.groupBy("stream").agg((F.max("frame") + 1).alias("n"))
+    plan = blocks.select("stream", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n") / 128) + 5)).alias("seq"))
+    plan = plan.select("stream", "seq", (F.col("seq") * 128 - 400).alias("sample_start"), (F.col("seq") * 128 - 200).alias("sample_end"))
+    got = framing.gather(plan, framing.regions(prime, tail, own))
+    return got.select("seq", F.posexplode("s").alias("pos", "sample"))
+
+
+@query("""SELECT p_partkey, p_size, greatest(0, least(p_size, p_size - (p_partkey % 9 - 2)))::BIGINT AS carry, pow(2, p_size % 12)::BIGINT AS block,
+list_extract([256, 128, 86, 64], (p_partkey % 4 + 1)::INT) AS levels, ((least(p_size * 3, 100) - 7) - (least(p_size * 3, 100) - 7) % 4) // 4 AS parts,
+concat('g', p_partkey % 2 + 1, '-', p_size % 6 + 1, 'ch-', 48000, '-', p_brand) AS description FROM part""")
+def q83_small_rules(spark, sf_dir):
+    """Band carry, block sizes, heights of a multiplier, partition counts and descriptions."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    text = quality.profile_description((F.pmod(key, F.lit(2)) + 1).cast("int"), (F.pmod(size, F.lit(6)) + 1).cast("int"), F.lit(48000), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", "p_size", N.band_carry(size, F.pmod(key, F.lit(9))).cast("bigint").alias("carry"), N.block_size(F.pmod(size, F.lit(12))).alias("block"),
+        N.multiplier_range((F.pmod(key, F.lit(4)) + 1).cast("int")).alias("levels"), floors.partition_count(F.lit(7), size * 3, F.lit(100), F.lit(4)).alias("parts"),
+        text.alias("description"),
+    )
+
+
+BANDS = ([0.5, 1.0, 0.5], 2), ([0.25, 0.5, 1.0, 0.5], 9)
+
+
+@query("""WITH e AS (SELECT vec_id AS idx, embedding AS v FROM embeddings)
+SELECT idx, ((((v[3] * 0.5::FLOAT)::FLOAT + v[4])::FLOAT + (v[5] * 0.5::FLOAT)::FLOAT)::FLOAT)::DOUBLE AS low,
+(((((v[10] * 0.25::FLOAT)::FLOAT + (v[11] * 0.5::FLOAT)::FLOAT)::FLOAT + v[12])::FLOAT + (v[13] * 0.5::FLOAT)::FLOAT)::FLOAT)::DOUBLE AS high FROM e""")
+def q84_band_sums(spark, sf_dir):
+    """Weighted sums of bands, each step in single precision."""
+    sums = posts.band_sums(F.col("x"), [w for w, _ in BANDS], [at for _, at in BANDS])
+    rows = A.spectrum_rows(spark, sf_dir).withColumn("s", sums)
+    return rows.select("idx", F.element_at("s", 1).alias("low"), F.element_at("s", 2).alias("high"))

@@ -9,6 +9,7 @@ stream, which is all that later operators need.
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import uuid
 from collections.abc import Iterator
@@ -69,6 +70,31 @@ def probe(raw: bytes) -> Format:
     return Format(tag, channels, rate, bits, data)
 
 
+def probe_strict(raw: bytes) -> Format:
+    """The same for plain 16-bit integers only, by a walk over the whole file: the last format chunk counts, and the first data chunk.
+
+    Any chunk that the file does not hold whole, any other format on the way, and data that are not whole frames are refused.
+    """
+    if len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, fmt, data = 12, None, None
+    while at + 8 <= len(raw):
+        name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+        body, at = raw[at + 8 : at + 8 + size], at + 8 + size + size % 2
+        if len(body) < size:
+            raise ValueError("chunk is truncated")
+        if name == b"fmt ":
+            tag, channels, rate, bits = (*struct.unpack_from("<HHI", body), *struct.unpack_from("<H", body, 14)) if size >= 16 else (0, 0, 0, 0)
+            if (tag, bits) != (INTEGER, 16) or not channels:
+                raise ValueError("not plain 16-bit samples")
+            fmt = channels, rate
+        elif name == b"data" and data is None:
+            data = body
+    if fmt is None or data is None or not fmt[1] or not data or len(data) % (2 * fmt[0]):
+        raise ValueError("format or whole frames are missing")
+    return Format(INTEGER, *fmt, 16, data)
+
+
 def normalize(data: bytes, tag: int, bits: int, channels: int) -> np.ndarray:
     """Frames by channels of 16-bit samples; halves go away from zero and the ends saturate."""
     step = bits // 8 * channels
@@ -112,11 +138,14 @@ def _read(decode):
     return run
 
 
-def read_wav(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
-    """Blocks of samples of all WAV files under ``path``; a file that can't be read is a row with its error."""
+def read_wav(spark: SparkSession, path: str, glob: str = "*.wav", strict: bool = False) -> DataFrame:
+    """Blocks of samples of all WAV files under ``path``; a file that can't be read is a row with its error.
+
+    With ``strict`` files are read as of ``probe_strict``.
+    """
 
     def decode(raw: bytes):
-        f = probe(raw)
+        f = (probe_strict if strict else probe)(raw)
         return normalize(f.data, f.tag, f.bits, f.channels), f.rate
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
@@ -163,16 +192,27 @@ def to_wav(pcm: DataFrame, rate: int, stream: str = "path", total: int | None =
 
 
 def write_files(rows: DataFrame, folder: str, name: str = "name", body: str = "body") -> int:
-    """Write each body to ``folder`` (shared by all executors) under its name; a file appears whole or not at all."""
+    """Write each body under its name to ``folder``, which driver and executors must have mounted; all files or none.
+
+    Tasks write to a folder beside it, each file under a name of its own, so that a task that is run again
+    does no harm; only when all have ended are the files moved. A job that fails leaves nothing.
+    """
+    staging = os.path.join(os.path.dirname(os.path.abspath(folder)), f".{os.path.basename(folder)}-{uuid.uuid4().hex}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        os.makedirs(staging, exist_ok=True)
         for batch in batches:
-            for n, b in zip(batch[name].to_pylist(), batch[body].to_pylist()):
-                part = os.path.join(folder, f".{n}.{uuid.uuid4().hex}")
-                with open(part, "wb") as f:
-                    f.write(b)
-                os.replace(part, os.path.join(folder, n))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
-
-    return rows.select(name, body).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+            parts = [uuid.uuid4().hex for _ in range(batch.num_rows)]
+            for part, raw in zip(parts, batch[body].to_pylist()):
+                with open(os.path.join(staging, part), "wb") as f:
+                    f.write(raw)
+            yield pa.RecordBatch.from_arrays([batch[name], pa.array(parts, pa.string())], ["name", "part"])
+
+    try:
+        done = rows.select(name, body).mapInArrow(run, "name string, part string").collect()  # names, not bodies
+        os.makedirs(folder, exist_ok=True)
+        for r in done:
+            os.replace(os.path.join(staging, r["part"]), os.path.join(folder, r["name"]))
+        return len(done)
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wavemill.operators import container
 from wavemill.operators.codec import (
     LEAST_FRAMES, LONG, QUANTUM, RISE, SIZES, following_mode, pack, reach, spectrum, unpack, windowed,
 )
@@ -200,3 +201,98 @@ def encode_session(chunks: DataFrame, channels: int, steps: float = 32.0, least:
         yield pdf.astype({"frames": "Int64"})
 
     return chunks.groupBy("stream").applyInPandasWithState(run, CODED, ENCODING, "append", GroupStateTimeout.NoTimeout)
+
+
+BYTES = "stream bigint, seq bigint, body binary, eos boolean"
+TAKEN = "stream bigint, seq bigint, payload binary, header binary"
+READING = "due bigint, done boolean, numbers array<bigint>, header binary, pending binary"
+
+
+class Reader:
+    """The packets of one container that comes in pieces; ``push`` gives those that are whole by now.
+
+    Chunks before the data are held until the data begin; of the data only the packet that is not whole yet. The header is
+    the ``fmt `` chunk. A piece that ends in the middle of anything waits for the next; at the end that is an error.
+    """
+
+    def __init__(self, state: tuple | None = None) -> None:
+        self.due, self.done, numbers, self.header, pending = state or (0, False, [-1, 0, 0, 0], None, b"")
+        #: Bytes of data left (-1: header not read yet), of the seek table left, packets so far, byte order.
+        self.left, self.seek, self.count, self.big = map(int, numbers)
+        self.pending = bytes(pending)
+
+    @property
+    def state(self) -> tuple:
+        return self.due, self.done, [self.left, self.seek, self.count, self.big], self.header, self.pending
+
+    def push(self, seq: int, body: bytes) -> list[tuple[int, bytes]]:
+        if self.done:
+            raise ValueError("the stream has ended")
+        if seq != self.due:
+            raise ValueError(f"piece {seq} came where {self.due} was due")
+        self.due, self.pending = self.due + 1, self.pending + body
+        if self.left < 0 and not self._read_header():
+            return []
+        skipped = min(self.seek, len(self.pending))
+        at, self.seek, self.left = skipped, self.seek - skipped, self.left - skipped
+        out = []
+        while self.left and at + 2 <= len(self.pending):
+            size = int.from_bytes(self.pending[at : at + 2], "big" if self.big else "little")
+            if size + 2 > self.left:
+                raise ValueError(f"packet of {size} bytes overruns")
+            if at + 2 + size > len(self.pending):
+                break
+            out.append((self.count, self.pending[at + 2 : at + 2 + size]))
+            at, self.left, self.count = at + 2 + size, self.left - 2 - size, self.count + 1
+        self.pending = self.pending[at:] if self.left else b""
+        return out
+
+    def finish(self) -> None:
+        if self.left:
+            raise ValueError("container ends early")
+        self.done = True
+
+    def _read_header(self) -> bool:
+        """Walk the chunks up to the data; whether they are all there."""
+        raw = self.pending
+        if len(raw) < 12:
+            return False
+        if raw[:4] not in (b"RIFF", b"RIFX") or raw[8:12] != b"WAVE":
+            raise ValueError("not a container")
+        self.big = int(raw[:4] == b"RIFX")
+        at, header = 12, None
+        while at + 8 <= len(raw):
+            name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "big" if self.big else "little")
+            if name == b"data":
+                if header is None:
+                    raise ValueError("header is missing")
+                if len(header) != container.HEADER:
+                    raise ValueError("header is malformed")
+                offset = sum(n for _, n in container.FIELDS[: [f for f, _ in container.FIELDS].index("seek_size")])
+                self.seek = int.from_bytes(header[offset : offset + 4], "little")
+                if self.seek > size:
+                    raise ValueError("seek table is larger than the data")
+                self.header, self.left, self.pending = header, size, raw[at + 8 :]
+                return True
+            if at + 8 + size > len(raw):
+                return False
+            if name == b"fmt " and header is None:
+                header = raw[at + 8 : at + 8 + size]
+            at += 8 + size + size % 2
+        return False
+
+
+def read_session(pieces: DataFrame) -> DataFrame:
+    """Packets (``TAKEN``; the header comes with each) of containers that come in pieces (``BYTES``)."""
+
+    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reader, out = Reader(state.get if state.exists else None), []
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        for seq, body, eos in zip(rows["seq"], rows["body"], rows["eos"]):
+            out += [(key[0], n, payload, reader.header) for n, payload in reader.push(int(seq), bytes(body or b""))]
+            if eos:
+                reader.finish()
+        state.update(reader.state)
+        yield pd.DataFrame(out, columns=["stream", "seq", "payload", "header"])
+
+    return pieces.groupBy("stream").applyInPandasWithState(run, TAKEN, READING, "append", GroupStateTimeout.NoTimeout)
