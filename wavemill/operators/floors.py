@@ -74,6 +74,18 @@ def class_word(digits: DataFrame, keys: tuple[str, ...], classes: int, per_word:
     return digits.groupBy(*keys, word.alias("word")).agg(F.sum(F.col(digit) * place).alias("cls_word"))
 
 
+def class_digits(word: Column, classes: int, per_word: int) -> Column:
+    """The classes of a class word, the first first; the inverse of ``class_word``."""
+    return F.transform(F.sequence(F.lit(per_word - 1), F.lit(0)), lambda k: F.pmod(F.floor(word / F.pow(F.lit(float(classes)), k)), F.lit(classes)).cast("int"))
+
+
+def residue_row(spectrum: Column, floor: Column, eps: float = 1e-8) -> Column:
+    """Coefficients over their floor, 0 where the floor is none; those past the floor's end stay as they are."""
+    n = F.size(floor)
+    over = F.zip_with(F.slice(spectrum, F.lit(1), n), floor, lambda m, f: F.when(F.abs(f) < eps, 0.0).otherwise(m / f))
+    return F.concat(over, F.slice(spectrum, n + 1, F.greatest(F.size(spectrum) - n, F.lit(0))))
+
+
 def partition_count(begin: Column, end: Column, n: Column, size: Column) -> Column:
     return N.trunc_div(F.least(end, n) - begin, size)
 

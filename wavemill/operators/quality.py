@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import numeric as N
@@ -127,3 +127,12 @@ def profile_label(generation: Column, channels: Column, rate: Column) -> Column:
 def profile_description(generation: Column, channels: Column, rate: Column, layout: Column) -> Column:
     """The label with what it leaves out: the order of the channels."""
     return F.concat_ws("-", profile_label(generation, channels, rate), layout)
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Profiles (profile, generation, channels, rate) from JSON lines or Parquet; missing or doubled fields and values that are no such number are refused."""
+    reader = spark.read.schema("profile string, generation int, channels int, rate int").option("mode", "FAILFAST")
+    rows = reader.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else reader.parquet(path)
+    whole = F.col("profile").isNotNull() & (F.col("generation") > 0) & (F.col("channels") > 0) & (F.col("rate") > 0)
+    checked = F.when(F.coalesce(whole, F.lit(False)), F.col("profile")).otherwise(F.raise_error(F.lit("profile is malformed")))
+    return rows.withColumn("profile", checked)

@@ -82,6 +82,20 @@ def power(x: Column, n: int) -> Column:
     return run(x)
 
 
+def packed_spectrum(x: Column, n: int) -> Column:
+    """The Fourier transform of n real samples as n numbers: the mean's, then real and imaginary parts, the middle's last."""
+
+    @pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(r):
+            c = np.fft.rfft(np.asarray(r, np.float64), n)
+            return np.concatenate([c[:1].real, np.stack([c[1:-1].real, c[1:-1].imag], axis=1).ravel(), c[-1:].real])
+
+        return s.map(lambda r: None if r is None else one(r))
+
+    return run(x)
+
+
 def float_log(x: Column) -> Column:
     """Decibels read off the bits of single-precision numbers: exponent and mantissa as one linear number."""
     # 20 log10(2) / 2^23 and 127 * 20 log10(2), in single precision.

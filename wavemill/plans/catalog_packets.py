@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wavemill.functions import numeric as N
-from wavemill.operators import books, codec, container, entropy, floors, framing, packets, posts, quality, setup
+from wavemill.operators import books, codec, container, entropy, floors, framing, packets, posts, quality, setup, spectral
 from wavemill.plans.catalog import (
     ACCOUNT, FINE, HEADER_VALUES, LEVELS, LENGTHS, MONO, PCM, RESIDUE, _accounts, _as_stream, _classes, _rows64, query,
 )
@@ -260,3 +260,41 @@ def q84_band_sums(spark, sf_dir):
     sums = posts.band_sums(F.col("x"), [w for w, _ in BANDS], [at for _, at in BANDS])
     rows = A.spectrum_rows(spark, sf_dir).withColumn("s", sums)
     return rows.select("idx", F.element_at("s", 1).alias("low"), F.element_at("s", 2).alias("high"))
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 2654435761 + l_linenumber * 40503) % 4294967296 AS word FROM lineitem)
+SELECT l_orderkey, l_linenumber, word, count(*) AS n, max((CASE WHEN word >= 2147483648 THEN -1 ELSE 1 END) * (word % 2097152)::DOUBLE * pow(2.0::DOUBLE, (word // 2097152) % 1024 - 788)) AS value
+FROM w GROUP BY ALL""")
+def q85_packed_float(spark, sf_dir):
+    """Packed floats: sign, exponent and mantissa of 32-bit words."""
+    word = F.pmod(F.col("l_orderkey") * 2654435761 + F.col("l_linenumber") * 40503, F.lit(4294967296))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", word.alias("word"))
+    return rows.groupBy("l_orderkey", "l_linenumber", "word").agg(F.count("*").alias("n"), F.max(N.packed_float(F.col("word"))).alias("value"))
+
+
+@query(f"""WITH {MONO}, words AS (SELECT idx, part // 4 AS word, sum(cls * pow(8, 3 - part % 4))::BIGINT AS w FROM classed GROUP BY idx, part // 4)
+SELECT idx, part // 4 AS word, part % 4 AS place, cls::INT AS cls FROM classed""")
+def q86_class_digits(spark, sf_dir):
+    """Classes packed into words and taken apart again."""
+    words = floors.class_word(_classes(spark, sf_dir), ("idx",), 8, 4)
+    each = words.select("idx", "word", F.posexplode(floors.class_digits(F.col("cls_word"), 8, 4)).alias("place", "cls"))
+    return each.select("idx", "word", F.col("place").cast("bigint").alias("place"), "cls")
+
+
+@query("""WITH e AS (SELECT vec_id AS idx, embedding AS v FROM embeddings), s AS (SELECT idx, (generate_subscripts(v, 1) - 1)::INT AS bin, unnest(v)::DOUBLE AS c FROM e)
+SELECT idx, bin, round(CASE WHEN bin >= 50 THEN c WHEN bin % 7 = 0 THEN 0 ELSE c / (0.25::DOUBLE + bin) END, 9) + 0.0::DOUBLE AS r FROM s""")
+def q87_residue_row(spark, sf_dir):
+    """Coefficients over a floor of 50 bins, none in every seventh; the tail stays."""
+    floor = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda k: F.when(F.pmod(k, F.lit(7)) == 0, 0.0).otherwise(k + 0.25))
+    rows = A.spectrum_rows(spark, sf_dir).withColumn("r", floors.residue_row(F.col("x"), floor))
+    return rows.select("idx", F.posexplode("r").alias("bin", "r")).select("idx", "bin", (F.round("r", 9) + 0.0).alias("r"))
+
+
+@query(f"""WITH rows AS (SELECT vec_id AS idx, embedding AS v FROM embeddings), s AS (SELECT idx, (generate_subscripts(v, 1) - 1)::INT AS bin, unnest(v)::DOUBLE AS c FROM rows),
+k AS (SELECT unnest(range(64))::INT AS place)
+SELECT idx, place, round(sum(c * CASE WHEN place = 0 THEN 1 WHEN place = 63 THEN CASE WHEN bin % 2 = 0 THEN 1 ELSE -1 END WHEN place % 2 = 1 THEN cos(2 * pi() * bin * ((place + 1) // 2) / 64) ELSE -sin(2 * pi() * bin * (place // 2) / 64) END), 6) + 0.0::DOUBLE AS y
+FROM s, k GROUP BY idx, place""")
+def q88_packed_spectrum(spark, sf_dir):
+    """The Fourier transform of real samples in packed order."""
+    rows = _rows64(spark, sf_dir).select("idx", F.posexplode(spectral.packed_spectrum(F.col("x"), 64)).alias("place", "y"))
+    return rows.select("idx", "place", (F.round("y", 6) + 0.0).alias("y"))

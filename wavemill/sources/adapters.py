@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,36 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length(body).cast("bigint").alias("size"),
         F.encode(body, "UTF-8").alias("payload"),
     )
+
+
+def buffer(spark: SparkSession, data, channels: int, form: str = "rows", path: str = "buffer", rate: int = 48000) -> DataFrame:
+    """Blocks of samples, as of ``wav.read_wav``, of a buffer in memory.
+
+    ``form`` is ``rows`` (a list of samples of each channel), ``channel-major`` (16-bit little-endian bytes, channel after channel) or
+    ``interleaved`` (the same, frame after frame). Samples are 16-bit integers or numbers of -1..1 that stand for one exactly; uneven
+    channels, part frames, no frames and any other number are refused.
+    """
+    from wavemill.sources import wav
+
+    if channels < 1 or rate < 1:
+        raise ValueError("channels and rate are positive")
+    if form == "rows":
+        if len(data) != channels or len({len(r) for r in data}) != 1:
+            raise ValueError("a row of the same length for each channel is needed")
+        x = np.array(data, np.float64).T
+        if np.issubdtype(np.asarray(data[0]).dtype, np.floating):
+            x = x * 32768.0
+        if not (np.isfinite(x).all() and (x == np.floor(x)).all() and (np.abs(x + 0.5) <= 32767.5).all()):
+            raise ValueError("a sample is no 16-bit number")
+        frames = x.astype(np.int16)
+    elif form in ("channel-major", "interleaved"):
+        if len(data) % (2 * channels):
+            raise ValueError("data is not whole frames")
+        flat = np.frombuffer(data, "<i2")
+        frames = flat.reshape(channels, -1).T if form == "channel-major" else flat.reshape(-1, channels)
+    else:
+        raise ValueError(f"no such form: {form}")
+    if not len(frames):
+        raise ValueError("there are no frames")
+    rows = [(*r[:5], r[5].tolist(), r[6]) for r in wav._blocks(path, frames, rate)]
+    return spark.createDataFrame(rows, wav.BLOCKS)
