@@ -412,9 +412,12 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"pack": 3000, "bucket_bytes": 2000, "piece": 300}])
+SMALL_SIZES = {"bucket_bytes": 2000, "piece": 300}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"pack": 3000} | SMALL_SIZES, {"pack": 1000, "hot": 2} | SMALL_SIZES, {"pack": 1000, "hot": 4}])
 def test_repeats(spark, sizes):
-    """Small sizes make many packs and blocks, and texts in parts."""
+    """Small sizes make many packs and blocks, and texts in parts; strings at hot anchors that no other document has are left out."""
     rows = texts(3, 80)
     rows += ["a" * 130, "ab" * 70, "x" * 49, "a" * 60, "Ünïcödé " * 20, "z" + "Ünïcödé " * 20]
     df = documents(spark, rows)

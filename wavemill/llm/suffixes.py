@@ -11,15 +11,17 @@ which depends on its bytes alone:
 1. Documents equal to an earlier one go as a whole, found by digest.
 2. Anchors of the others (about one in 14 places, 8 bytes each) are dealt into buckets by hash, which
    tell those that more than one document has.
-3. Around shared anchors only, the strings that chose them are cut out as contexts and dealt into
+3. A hot anchor, which ``HOT`` packs or more have, would draw the different neighbours of all its places into one block.
+   So of its strings, told apart by hash, those that one document alone has are found first, spread over all buckets, and left out.
+4. Around shared anchors only, the strings that chose them are cut out as contexts and dealt into
    blocks by anchor; each block is suffix-sorted and answers with the least document of each string.
-4. Answers return to their documents, which are joined by id.
+5. Answers return to their documents, which are joined by id.
 
 Documents are worked on in packs of about ``PACK`` bytes, and a pack asks about an anchor or a context once
 however often it has it, so a line that a third of all documents share costs one
 entry a pack. Buckets and blocks hold about ``BUCKET_BYTES`` each, as their number follows the bytes, and there are
 several to a task, so that one is never a task's whole work; an anchor that every pack has adds to its own
-bucket 8 bytes a pack, and to its block a context a pack (under 100 bytes), which is 25 MB a TB. Each step is an
+bucket 8 bytes a pack, and to its block what several packs have around it (under 100 bytes a pack for a passage), 25 MB a TB. Each step is an
 exchange by key, so lost tasks are recomputed alone, and long steps are written to the shared folder.
 
 Defined cases: null texts are empty; texts under ``LENGTH`` bytes lose nothing; texts of any length are
@@ -47,6 +49,8 @@ SPAN = LENGTH - GRAM + 1
 PACK, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Buckets and blocks for each shuffle partition, at least.
 BLOCKS_A_TASK = 4
+#: An anchor that so many packs have is hot.
+HOT = 32
 #: Rows up to this many go to every executor (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 LAST = 2**63 - 1
@@ -60,18 +64,18 @@ _BASE = 0xD6E8FEB86659FD93
 # Anchors ---------------------------------------------------------------------------------------
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes at each place, by doubling."""
+def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash of the ``size`` bytes at each place, by doubling."""
     power = lambda k: U(pow(_BASE, k, 1 << 64))
     with np.errstate(over="ignore"):
         n, h = 1, textnp.BYTE[data]
         parts = {1: h}
-        while 2 * n <= GRAM:
+        while 2 * n <= size:
             h = h[:-n] * power(n) + h[n:]
             n *= 2
             parts[n] = h
-        while n < GRAM:
-            more = 1 << ((GRAM - n).bit_length() - 1)
+        while n < size:
+            more = 1 << ((size - n).bit_length() - 1)
             m = len(data) - n - more + 1
             h = h[:m] * power(more) + parts[more][n : n + m]
             n += more
@@ -144,7 +148,8 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 ROWS = "uid bigint, dest bigint, kind int, body binary"
-ASKED, DOCS, HERE, ANSWER = range(4)
+ASKED, DOCS, HERE, ANSWER, HOTS = range(5)
+_HOT = U(1 << 62)
 
 
 def _pressed(body: bytes) -> bytes:
@@ -169,6 +174,23 @@ def _docs_row(uid: int, columns: dict) -> tuple[int, int, int, bytes]:
     return uid, -uid - 1, DOCS, keys.astype(np.int64).tobytes()
 
 
+def _questions(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a pack asks about its (document << 48 | hash), each hash once, and those that several of its documents have."""
+    hashes = own & _LOW
+    order = np.argsort(hashes, kind="stable")
+    own, hashes = own[order], hashes[order]
+    first = np.r_[True, hashes[1:] != hashes[:-1]] if len(own) else np.zeros(0, bool)
+    group = np.cumsum(first) - 1
+    many = np.bincount(group)[group] > 1 if len(own) else first
+    asked = own[first]
+    asked[many[first]] |= U(MANY) << _SHIFT
+    return asked, own[many]
+
+
+def _bucketed(uid: int, asked: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes]]:
+    return [(uid, bucket, ASKED, asked[at].tobytes()) for bucket, at in _split(((asked & _LOW) % U(buckets)).astype(np.int64))]
+
+
 def ask_anchors(buckets: int, pack: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, columns, data, offsets in packs(batches, pack, "id", "th"):
@@ -178,41 +200,72 @@ def ask_anchors(buckets: int, pack: int, piece: int):
                 doc = np.searchsorted(offsets, at + low, side="right") - 1
                 found.append((doc.astype(U) << _SHIFT) | (h[at] >> U(16)))
             own = np.unique(np.concatenate([np.zeros(0, U), *found]))  # a document counts an anchor once
-            hashes = own & _LOW
-            order = np.argsort(hashes, kind="stable")
-            own, hashes = own[order], hashes[order]
-            first = np.r_[True, hashes[1:] != hashes[:-1]] if len(own) else np.zeros(0, bool)
-            group = np.cumsum(first) - 1
-            many = np.bincount(group)[group] > 1 if len(own) else first
-            asked = own[first]
-            asked[many[first]] |= U(MANY) << _SHIFT
+            asked, many = _questions(own)
             rows = [_docs_row(uid, columns)]
-            if many.any():  # shared for certain, so no answer is needed
-                rows.append((uid, -uid - 1, HERE, own[many].tobytes()))
-            for bucket, at in _split(((asked & _LOW) % U(buckets)).astype(np.int64)):
-                rows.append((uid, bucket, ASKED, asked[at].tobytes()))
-            yield _rows(rows)
+            if len(many):  # shared for certain, so no answer is needed
+                rows.append((uid, -uid - 1, HERE, many.tobytes()))
+            yield _rows(rows + _bucketed(uid, asked, buckets))
 
     return run
 
 
-def answer_anchors(table: pa.Table) -> pa.Table:
-    """For each pack, which anchors that only one of its documents has another pack has too."""
-    kind = table["kind"].to_numpy()
-    if kind[0] != ASKED:  # on their way back already
-        return table
-    uid, bodies = table["uid"].to_numpy(), [np.frombuffer(b, U) for b in table["body"].to_pylist()]
+def _met(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's packs, entries and their packs, by hash; the group of each entry, and how many entries groups have."""
+    uid, bodies = table["uid"].to_pylist(), [np.frombuffer(b, U) for b in table["body"].to_pylist()]
     entry, pack = np.concatenate(bodies), np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
     order = np.argsort(entry & _LOW, kind="stable")
     entry, pack = entry[order], pack[order]
     hashes = entry & _LOW
     group = np.cumsum(np.r_[True, hashes[1:] != hashes[:-1]]) - 1
-    shared = (np.bincount(group)[group] > 1) & ((entry >> _SHIFT) != MANY)
-    entry, pack = entry[shared], pack[shared]
-    rows = [(int(uid[p]), -int(uid[p]) - 1, ANSWER, entry[at].tobytes()) for p, at in _split(pack)]
+    return uid, entry, pack, group, np.bincount(group)
+
+
+def answer_anchors(least: int):
+    """For each pack, which anchors that only one of its documents has another pack has too, and which of its anchors ``least`` packs have."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        if table["kind"][0].as_py() != ASKED:  # on their way back already
+            return table
+        uid, entry, pack, group, count = _met(table)
+        shared = np.flatnonzero((count[group] > 1) & ((entry >> _SHIFT) != MANY))
+        rows = [(uid[p], -uid[p] - 1, ANSWER, entry[shared[at]].tobytes()) for p, at in _split(pack[shared])]
+        hot = np.flatnonzero(count[group] >= least)
+        rows += [(uid[p], -uid[p] - 1, HOTS, (entry[hot[at]] & _LOW).tobytes()) for p, at in _split(pack[hot])]
+        return pa.Table.from_batches([_rows(rows)])
+
+    return answer
+
+
+def ask_strings(buckets: int, pack: int, piece: int):
+    """The hashes of the strings that chose a hot anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uid, columns, data, offsets in packs(batches, pack, "id", "th", "shared"):
+            shared = _by_document(columns["shared"])
+            found = [key for _, _, _, key, hot in chosen_strings(data, offsets, shared, piece) for key in (key[hot],)]
+            asked, _ = _questions(np.unique(np.concatenate([np.zeros(0, U), *found])))
+            yield _rows([_docs_row(uid, columns), *_bucketed(uid, asked, buckets)])
+
+    return run
+
+
+def answer_strings(table: pa.Table) -> pa.Table:
+    """For each pack, which of its strings no other document has."""
+    if table["kind"][0].as_py() != ASKED:
+        return table
+    uid, entry, pack, group, count = _met(table)
+    alone = np.flatnonzero((count[group] == 1) & ((entry >> _SHIFT) != MANY))
+    rows = [(uid[p], -uid[p] - 1, ANSWER, entry[alone[at]].tobytes()) for p, at in _split(pack[alone])]
     return pa.Table.from_batches([_rows(rows)])
 
 
+def _with_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents that have a hot anchor."""
+    for batch in batches:
+        marked = [bool((np.frombuffer(x, U) & _HOT).any()) for x in batch["shared"].to_pylist()]
+        yield batch.filter(pa.array(marked, pa.bool_()))
+
+
 def _keys_of(table: pa.Table) -> np.ndarray:
     body = next(b for b, k in zip(table["body"].to_pylist(), table["kind"].to_pylist()) if k == DOCS)
     return np.frombuffer(body, np.int64).reshape(2, -1)
@@ -226,53 +279,83 @@ def _per_doc(keys: np.ndarray, docs: np.ndarray, values: np.ndarray, name: str)
     return pa.table({"id": pa.array(keys[0][own]), "th": pa.array(keys[1][own]), name: pa.array(bodies, pa.binary())})
 
 
+def _answers(table: pa.Table, *wanted: int) -> np.ndarray:
+    parts = [np.frombuffer(b, U) for b, k in zip(table["body"].to_pylist(), table["kind"].to_pylist()) if k in wanted]
+    return np.sort(np.concatenate([np.zeros(0, U), *parts]))
+
+
 def anchors_by_doc(table: pa.Table) -> pa.Table:
-    keys, kinds = _keys_of(table), table["kind"].to_pylist()
-    parts = [np.frombuffer(b, U) for b, k in zip(table["body"].to_pylist(), kinds) if k in (HERE, ANSWER)]
-    own = np.sort(np.concatenate([np.zeros(0, U), *parts]))
-    return _per_doc(keys, (own >> _SHIFT).astype(np.int64), own & _LOW, "shared")
+    """The shared anchors of each document, hot ones marked."""
+    own = _answers(table, HERE, ANSWER)
+    hot = np.isin(own & _LOW, _answers(table, HOTS))
+    return _per_doc(_keys_of(table), (own >> _SHIFT).astype(np.int64), (own & _LOW) | np.where(hot, _HOT, U(0)), "shared")
+
+
+def strings_by_doc(table: pa.Table) -> pa.Table:
+    """The strings at hot anchors that only this document has."""
+    own = _answers(table, ANSWER)
+    return _per_doc(_keys_of(table), (own >> _SHIFT).astype(np.int64), own & _LOW, "alone")
+
+
+def _by_document(lists: pa.Array) -> np.ndarray:
+    """(document << 48 | hash) of lists of hashes, with their marks; sorted but for those."""
+    each = [np.frombuffer(x, U) if x else np.zeros(0, U) for x in lists.to_pylist()]
+    return np.concatenate([np.zeros(0, U), *((x & _LOW) | (x & _HOT) | (U(i) << _SHIFT) for i, x in enumerate(each))])
 
 
 # Contexts --------------------------------------------------------------------------------------
 
 
-def contexts(
+def chosen_strings(
     data: np.ndarray, offsets: np.ndarray, shared: np.ndarray, piece: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First and last string, and anchor hash, of each run of strings that chose one shared anchor.
-
-    ``shared`` has (document << 48 | hash), sorted.
-    """
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The strings that chose a shared anchor: their places, their anchors' numbers and hashes, (document << 48 | hash) of the strings
+    themselves, and whether the anchor is hot. ``shared`` is as of ``_by_document``."""
+    plain = shared & ~_HOT
     for low, high, borders in pieces(offsets, piece):
         at, h, least = anchors(data[low:high], borders)
         inside = np.flatnonzero(least)
-        if not len(inside):
+        if not len(inside) or not len(shared):
             continue
         chosen = np.searchsorted(at, inside)
         open_ = np.flatnonzero(h[at[chosen]] != least[inside])
         while len(open_):  # the leftmost anchor of that hash
             chosen[open_] += 1
             open_ = open_[h[at[chosen[open_]]] != least[inside[open_]]]
-        doc = np.searchsorted(offsets, inside + low, side="right") - 1
+        doc = (np.searchsorted(offsets, inside + low, side="right") - 1).astype(U) << _SHIFT
         hashes = least[inside] >> U(16)
-        key = (doc.astype(U) << _SHIFT) | hashes
-        place = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
-        hit = np.flatnonzero(shared[place] == key) if len(shared) else np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(plain, doc | hashes), len(plain) - 1)
+        hit = np.flatnonzero(plain[place] == (doc | hashes))
         if not len(hit):
             continue
-        string, anchor, hashes = inside[hit], chosen[hit], hashes[hit]
+        hot = (shared[place[hit]] & _HOT) > 0
+        key = doc[hit]
+        if hot.any():
+            key = key | (gram_hashes(data[low:high], LENGTH)[inside[hit]] >> U(16))
+        yield inside[hit] + low, chosen[hit], hashes[hit], key, hot
+
+
+def contexts(
+    data: np.ndarray, offsets: np.ndarray, shared: np.ndarray, alone: np.ndarray, piece: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last string, and anchor hash, of each run of strings that chose one shared anchor, but those in ``alone``."""
+    for string, anchor, hashes, key, hot in chosen_strings(data, offsets, shared, piece):
+        if len(alone):
+            place = np.minimum(np.searchsorted(alone, key), len(alone) - 1)
+            stay = ~hot | (alone[place] != key)
+            string, anchor, hashes = string[stay], anchor[stay], hashes[stay]
+        if not len(string):
+            continue
         first = np.r_[True, (string[1:] != string[:-1] + 1) | (anchor[1:] != anchor[:-1])]
         begin = np.flatnonzero(first)
         end = np.r_[begin[1:], len(string)] - 1
-        yield string[begin] + low, string[end] + low, hashes[begin]
+        yield string[begin], string[end], hashes[begin]
 
 
 def ask_contexts(blocks: int, pack: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, columns, data, offsets in packs(batches, pack, "id", "th", "shared"):
-            lists = [np.frombuffer(x, U) for x in columns["shared"].to_pylist()]
-            shared = np.concatenate([np.zeros(0, U), *(x | (U(i) << _SHIFT) for i, x in enumerate(lists))])
-            found = list(contexts(data, offsets, shared, piece))
+        for uid, columns, data, offsets in packs(batches, pack, "id", "th", "shared", "alone"):
+            found = list(contexts(data, offsets, _by_document(columns["shared"]), _by_document(columns["alone"]), piece))
             rows = [_docs_row(uid, columns)]
             if found:
                 first, last, hashes = (np.concatenate(x) for x in zip(*found))
@@ -477,6 +560,7 @@ def repeats(
     pack: int = PACK,
     bucket_bytes: int = BUCKET_BYTES,
     piece: int = textnp.RUN_BYTES,
+    hot: int = HOT,
 ) -> DataFrame:
     """id, th, text, copy, spans for each row: the removed byte ranges as pairs of 64-bit numbers; ``copy`` rows lose all."""
     spark = docs.sparkSession
@@ -495,12 +579,18 @@ def repeats(
     small = copies.count() <= BROADCAST_ROWS
     fresh = long_.join(F.broadcast(copies) if small else copies, ["id", "th"], "left_anti")
     blocks = max(BLOCKS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    asked = fresh.mapInArrow(ask_anchors(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_anchors, ROWS)
+    asked = fresh.mapInArrow(ask_anchors(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_anchors(hot), ROWS)
     shared = asked.groupBy("uid").applyInArrow(anchors_by_doc, "id bigint, th bigint, shared binary")
     shared = cut(shared, "repeat-anchors")
     del asked, first, narrow
     release(spark)
     around = fresh.join(shared.dropDuplicates(["id", "th"]), ["id", "th"]).select("id", "th", "text", "shared")
+    marked = around.mapInArrow(_with_hot, around.schema)
+    asked = marked.mapInArrow(ask_strings(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_strings, ROWS)
+    alone = cut(asked.groupBy("uid").applyInArrow(strings_by_doc, "id bigint, th bigint, alone binary"), "repeat-alone")
+    del asked, marked
+    release(spark)
+    around = around.join(alone.dropDuplicates(["id", "th"]), ["id", "th"], "left")
     asked = around.mapInArrow(ask_contexts(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_contexts, ROWS)
     spans = asked.groupBy("uid").applyInArrow(spans_by_doc, "id bigint, th bigint, spans binary")
     spans = cut(spans, "repeat-spans").dropDuplicates(["id", "th"])
