@@ -11,8 +11,9 @@ which depends on its bytes alone:
 1. Documents equal to an earlier one go as a whole, found by digest.
 2. Anchors of the others (about one in 14 places, 8 bytes each) are dealt into buckets by hash, which
    tell those that more than one document has.
-3. A hot anchor, which ``HOT`` packs or more have, would draw the different neighbours of all its places into one block.
-   So of its strings, told apart by hash, those that one document alone has are found first, spread over all buckets, and left out.
+3. A hot anchor, which ``HOT`` packs or more have, would draw the different neighbours of all its places into one block, more
+   than fits a task. So of its strings, told apart by hash, those that one document alone has are found first, spread over all
+   buckets, and left out. Without hot anchors this step is skipped, as blocks take what comes then.
 4. Around shared anchors only, the strings that chose them are cut out as contexts and dealt into
    blocks by anchor; each block is suffix-sorted and answers with the least document of each string.
 5. Answers return to their documents, which are joined by id.
@@ -21,7 +22,7 @@ Documents are worked on in packs of about ``PACK`` bytes, and a pack asks about
 however often it has it, so a line that a third of all documents share costs one
 entry a pack. Buckets and blocks hold about ``BUCKET_BYTES`` each, as their number follows the bytes, and there are
 several to a task, so that one is never a task's whole work; an anchor that every pack has adds to its own
-bucket 8 bytes a pack, and to its block what several packs have around it (under 100 bytes a pack for a passage), 25 MB a TB. Each step is an
+bucket 8 bytes a pack, and to its block what several documents have around it. Each step is an
 exchange by key, so lost tasks are recomputed alone, and long steps are written to the shared folder.
 
 Defined cases: null texts are empty; texts under ``LENGTH`` bytes lose nothing; texts of any length are
@@ -49,8 +50,8 @@ SPAN = LENGTH - GRAM + 1
 PACK, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Buckets and blocks for each shuffle partition, at least.
 BLOCKS_A_TASK = 4
-#: An anchor that so many packs have is hot.
-HOT = 32
+#: An anchor that so many packs have (4 GB of text) is hot: at a passage's edge its contexts are one a document, about 30 kB a pack.
+HOT = 1024
 #: Rows up to this many go to every executor (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 LAST = 2**63 - 1
@@ -259,13 +260,6 @@ def answer_strings(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows)])
 
 
-def _with_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents that have a hot anchor."""
-    for batch in batches:
-        marked = [bool((np.frombuffer(x, U) & _HOT).any()) for x in batch["shared"].to_pylist()]
-        yield batch.filter(pa.array(marked, pa.bool_()))
-
-
 def _keys_of(table: pa.Table) -> np.ndarray:
     body = next(b for b, k in zip(table["body"].to_pylist(), table["kind"].to_pylist()) if k == DOCS)
     return np.frombuffer(body, np.int64).reshape(2, -1)
@@ -288,7 +282,8 @@ def anchors_by_doc(table: pa.Table) -> pa.Table:
     """The shared anchors of each document, hot ones marked."""
     own = _answers(table, HERE, ANSWER)
     hot = np.isin(own & _LOW, _answers(table, HOTS))
-    return _per_doc(_keys_of(table), (own >> _SHIFT).astype(np.int64), (own & _LOW) | np.where(hot, _HOT, U(0)), "shared")
+    out = _per_doc(_keys_of(table), (own >> _SHIFT).astype(np.int64), (own & _LOW) | np.where(hot, _HOT, U(0)), "shared")
+    return out.append_column("hot", pa.array([bool((np.frombuffer(x, U) & _HOT).any()) for x in out["shared"].to_pylist()], pa.bool_()))
 
 
 def strings_by_doc(table: pa.Table) -> pa.Table:
@@ -580,17 +575,19 @@ def repeats(
     fresh = long_.join(F.broadcast(copies) if small else copies, ["id", "th"], "left_anti")
     blocks = max(BLOCKS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     asked = fresh.mapInArrow(ask_anchors(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_anchors(hot), ROWS)
-    shared = asked.groupBy("uid").applyInArrow(anchors_by_doc, "id bigint, th bigint, shared binary")
+    shared = asked.groupBy("uid").applyInArrow(anchors_by_doc, "id bigint, th bigint, shared binary, hot boolean")
     shared = cut(shared, "repeat-anchors")
     del asked, first, narrow
     release(spark)
-    around = fresh.join(shared.dropDuplicates(["id", "th"]), ["id", "th"]).select("id", "th", "text", "shared")
-    marked = around.mapInArrow(_with_hot, around.schema)
-    asked = marked.mapInArrow(ask_strings(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_strings, ROWS)
-    alone = cut(asked.groupBy("uid").applyInArrow(strings_by_doc, "id bigint, th bigint, alone binary"), "repeat-alone")
-    del asked, marked
-    release(spark)
-    around = around.join(alone.dropDuplicates(["id", "th"]), ["id", "th"], "left")
+    around = fresh.join(shared.dropDuplicates(["id", "th"]), ["id", "th"]).select("id", "th", "text", "shared", "hot")
+    if shared.where("hot").isEmpty():
+        around = around.withColumn("alone", F.lit(None).cast("binary"))
+    else:
+        asked = around.where("hot").mapInArrow(ask_strings(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_strings, ROWS)
+        alone = cut(asked.groupBy("uid").applyInArrow(strings_by_doc, "id bigint, th bigint, alone binary"), "repeat-alone")
+        del asked
+        release(spark)
+        around = around.join(alone.dropDuplicates(["id", "th"]), ["id", "th"], "left")
     asked = around.mapInArrow(ask_contexts(blocks, pack, piece), ROWS).groupBy("dest").applyInArrow(answer_contexts, ROWS)
     spans = asked.groupBy("uid").applyInArrow(spans_by_doc, "id bigint, th bigint, spans binary")
     spans = cut(spans, "repeat-spans").dropDuplicates(["id", "th"])
