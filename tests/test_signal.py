@@ -332,3 +332,36 @@ def test_damaged_containers(spark):
     a = spark.createDataFrame([(1, b"abcd"), (2, b"ab"), (3, b"q")], "k int, file binary")
     b = spark.createDataFrame([(1, b"abXd"), (2, b"ab"), (4, b"q")], "k int, file binary")
     assert {r.k: (r.same, r["first"]) for r in container.compare_bytes(a, b, "k").collect()} == {1: (False, 2), 2: (True, None), 3: (False, 0), 4: (False, 0)}
+
+
+def test_floor_fit_by_fitted_lines():
+    """Heights of posts against lines of numpy's own least squares."""
+    from wavemill.operators import posts
+
+    rng = np.random.default_rng(3)
+    x = [0, 63, 16, 48, 32, 8, 24, 40, 56]
+
+    def line(levels, a, b):
+        slope, start = np.polyfit(np.arange(a, b + 1), levels[a : b + 1], 1)
+        return lambda p: int(np.clip(np.floor(slope * p + start + 0.5 + 1e-9), 0, 1023))
+
+    needed = 0
+    for _ in range(40):
+        levels = np.clip(np.cumsum(rng.normal(0, 25, 64)) + rng.integers(200, 800), 0, 1023).astype(int)
+        whole = line(levels, 0, 63)
+        want = [(whole(0), True), (whole(63), True)]
+        for i in range(2, len(x)):
+            low = max((j for j in range(i) if x[j] < x[i]), key=lambda j: x[j])
+            high = min((j for j in range(i) if x[j] > x[i]), key=lambda j: x[j])
+            a, b, y0, y1 = x[low], x[high], want[low][0], want[high][0]
+            drawn = np.array([y0 + int(np.sign(y1 - y0)) * (abs(y1 - y0) * (p - a) // (b - a)) for p in range(a, b + 1)])
+            off = levels[a : b + 1] - drawn
+            if off.max() > 60 or off.min() < -30 or (off * off).sum() // len(off) > 500:
+                want.append((int(np.clip((line(levels, a, x[i])(x[i]) + line(levels, x[i], b)(x[i])) // 2, 0, 1023)), True))
+                needed += 1
+            else:
+                want.append((int(drawn[x[i] - a]), False))
+        got = posts.fit(levels, x)
+        assert [n for _, n in got] == [n for _, n in want]
+        assert max(abs(g - w) for (g, _), (w, _) in zip(got, want)) <= 1  # a rounding at a half
+    assert needed > 20
