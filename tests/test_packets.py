@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavemill.operators import books, codec, container, entropy, packets, posts, setup, spectral
 from wavemill.streaming import sessions
@@ -247,6 +248,33 @@ def test_lpc_tail_by_solving(spark):
     assert [r.y for r in late] != got
 
 
+def test_lpc_prime_is_the_tail_of_the_stream_backwards(spark):
+    k = np.arange(300)
+    x = np.rint(9000 * np.sin(0.21 * k)).astype(int)
+    rows = spark.createDataFrame([(1, int(i), int(v)) for i, v in enumerate(x)], "stream bigint, i bigint, sample int")
+    turned = spark.createDataFrame([(1, int(i), int(v)) for i, v in enumerate(x[::-1])], "stream bigint, i bigint, sample int")
+    got = [r.y for r in spectral.lpc_prime(rows, 8, 10).orderBy("k").collect()]
+    assert got == [r.y for r in spectral.lpc_tail(turned, 8, 10).orderBy(F.desc("k")).collect()]
+
+
+def test_split_fit_finds_the_knots_of_a_broken_line():
+    x = [0, 63, 16, 48, 32, 8, 24, 40, 56]
+    knots = {0: 200, 16: 700, 48: 100, 63: 500}
+    levels = np.rint(np.interp(np.arange(64), list(knots), list(knots.values()))).astype(int)
+    got = dict(zip(x, posts.split_fit(levels, x)))
+    assert all(got[p][1] and abs(got[p][0] - y) < 25 for p, y in knots.items())
+    flat = posts.split_fit(np.full(64, 321), x)
+    assert [n for _, n in flat] == [True, True] + [False] * 7 and {h for h, _ in flat} == {321}
+    for seed in range(20):
+        levels = np.clip(np.cumsum(np.random.default_rng(seed).normal(0, 30, 64)) + 500, 0, 1023).astype(int)
+        fit = posts.split_fit(levels, x)
+        order = sorted(range(len(x)), key=lambda i: x[i])
+        drawn = np.interp(np.arange(64), [x[i] for i in order], [fit[i][0] for i in order])
+        whole = posts.split_fit(levels, x[:2])
+        line = np.interp(np.arange(64), [0, 63], [whole[0][0], whole[1][0]])
+        assert ((levels - drawn) ** 2).sum() <= ((levels - line) ** 2).sum() * 1.02
+
+
 def tone(frames: int) -> np.ndarray:
     k = np.arange(frames)
     x = np.stack([6000 * np.sin(0.03 * k), 5000 * np.sin(0.05 * k + 1)], axis=1)

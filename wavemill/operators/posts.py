@@ -154,6 +154,45 @@ def fit(levels: np.ndarray, x: list[int]) -> list[tuple[int, bool]]:
     return out
 
 
+def split_fit(levels: np.ndarray, x: list[int]) -> list[tuple[int, bool]]:
+    """Heights of posts at ``x`` by recursive splits, and whether each is needed.
+
+    A segment is one least-squares line. Where the curve strays too far from it, the segment is split at the post in it
+    that comes first in packet order, and both halves are fitted anew. A post between two segments takes the mean of
+    their ends; one inside a segment lies on its line and is not needed.
+    """
+    place = np.arange(len(levels), dtype=np.float64)
+    ends: dict[int, list[int]] = {0: [], 1: []}
+
+    def line(a: int, b: int) -> tuple[int, int]:
+        u, v = place[a : b + 1], levels[a : b + 1].astype(np.float64)
+        slope = ((u - u.mean()) * (v - v.mean())).sum() / max(((u - u.mean()) ** 2).sum(), 1e-9)
+        return tuple(int(np.clip(np.floor(v.mean() + slope * (p - u.mean()) + 0.5), 0, 1023)) for p in (a, b))
+
+    todo = [(0, 1, line(x[0], x[1]))]
+    while todo:
+        low, high, (y0, y1) = todo.pop()
+        a, b = x[low], x[high]
+        inner = [i for i in range(2, len(x)) if a < x[i] < b]
+        drawn = np.array([point(a, y0, b, y1, p) for p in range(a, b + 1)]) if inner else levels[a : b + 1]
+        off = levels[a : b + 1] - drawn
+        if inner and (off.max() > OVER or -off.min() > UNDER or (off * off).sum() // len(off) > SQUARE):
+            middle = inner[0]
+            todo += [(low, middle, line(a, x[middle])), (middle, high, line(x[middle], b))]
+        else:
+            ends.setdefault(low, []).append(y0)
+            ends.setdefault(high, []).append(y1)
+    out: list[tuple[int, bool]] = []
+    near = neighbours(x)
+    for i in range(len(x)):
+        if i in ends:
+            out.append((sum(ends[i]) // len(ends[i]), True))
+        else:
+            low, high = near[i - 2]
+            out.append((point(x[low], out[low][0], x[high], out[high][0], x[i]), False))
+    return out
+
+
 def fitted(levels: Column, x: list[int]) -> Column:
     """``fit`` of a column of arrays: a struct of heights and needed flags."""
     @pandas_udf("heights array<int>, needed array<boolean>")

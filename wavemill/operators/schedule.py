@@ -77,6 +77,25 @@ def transition_code(modes: DataFrame, stream: str = "stream", at: str = "seq") -
     return modes.withColumn("code", variant.bitwiseOR(F.col("mode") * 2).cast("int"))
 
 
+def transition_codes(plan: DataFrame, slots: DataFrame, stream: str = "stream", at: str = "seq", hop: int = 64, short: int = SHORT, long: int = LONG) -> DataFrame:
+    """``code`` of each planned block: mode in bit 1; in bit 0 whether a long block has long neighbours, or a short one
+    no transient (``slots``: stream, q, slot) within a quarter of its length and of a short block's of its centre.
+
+    What follows the last block counts as long. Only short blocks are met with slots, by the few quanta that each reaches.
+    """
+    size = F.when(F.col("mode") == 1, long).otherwise(short)
+    centre = F.col("sample_start") + size / 2 - long // 2
+    reach = size / 4 + short // 4
+    toward_zero = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("bigint")
+    first, last = toward_zero((centre - reach) / hop), toward_zero((centre + reach) / hop) - 1
+    near = plan.where((F.col("mode") == 0) & (last >= first)).select(stream, at, F.explode(F.sequence(first, last)).alias("q"))
+    struck = near.join(slots.where("slot <> 0").select(stream, "q"), [stream, "q"]).select(stream, at).distinct().withColumn("_struck", F.lit(1))
+    calm = F.when(F.col("_struck").isNull(), 1).otherwise(0)
+    inside = ((F.col("previous") != 0) & (F.col("following") != 0)).cast("int")
+    code = F.when(F.col("mode") == 1, inside + 2).otherwise(calm)
+    return plan.join(struck, [stream, at], "left").withColumn("code", code.cast("int")).drop("_struck")
+
+
 def runs(modes: DataFrame, stream: str = "stream", at: str = "seq", most: int = 8) -> DataFrame:
     """``run``: how many equal modes end here; ``tail``: the same, at most ``most``, 0 on a change."""
     w = _order(stream, at)

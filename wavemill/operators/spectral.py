@@ -187,10 +187,18 @@ def lpc_tail(
     return recent.groupBy(stream).applyInPandas(run, f"{stream} bigint, k bigint, y double")
 
 
+def lpc_prime(samples: DataFrame, order: int, count: int, stream: str = "stream", at: str = "i", value: str = "sample", window: int = 4096) -> DataFrame:
+    """stream, k, y: the ``count`` samples before each stream, as its first ``window`` samples, read backwards, predict them; the last is next to it."""
+    back = samples.select(stream, (-F.col(at)).alias(at), value)
+    told = lpc_tail(back, order, count, stream, at, value, window)
+    return told.withColumn("k", F.lit(count - 1) - F.col("k"))
+
+
 def dc_filter(
-    samples: DataFrame, c: float = 0.9921875, stream: str = "stream", at: str = "i", value: str = "sample", block: int = 1 << 16, warm: int = 1 << 13
-) -> DataFrame:
-    """stream, at, y: a one-pole high-pass in single precision along each stream.
+    samples: DataFrame, c: float = 0.9921875, stream: str = "stream", at: str = "i", value: str = "sample", block: int = 1 << 16, warm: int = 1 << 13,
+    quantized: bool = False,
+) -> DataFrame:
+    """stream, at, y: a one-pole high-pass in single precision along each stream; ``quantized`` to 16 bits again, halves to even.
 
     A stream is worked on in blocks of ``block`` places, so that no task holds it whole. A block also gets the ``warm`` places
     before it, after which what the filter knew earlier has faded to less than a rounding (``c`` ** ``warm`` < 1e-27).
@@ -206,6 +214,7 @@ def dc_filter(
         for i, d in enumerate(np.diff(x, prepend=np.float32(0))):
             last = np.float32(d + np.float32(pole * last))
             y[i] = last
+        y = np.clip(np.rint(y.astype(np.float64) * 32767.0), -32768, 32767) / 32768.0 if quantized else y
         here = pa.array(table[at].to_numpy() // block == table["_block"].to_numpy())
         out = pa.table({stream: table[stream], at: table[at], "y": pa.array(y.astype(np.float64))})
         return out.filter(here)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wavemill.functions import numeric as N
-from wavemill.operators import books, codec, container, entropy, floors, framing, packets, posts, quality, setup, spectral
+from wavemill.operators import books, codec, container, entropy, floors, framing, packets, posts, quality, schedule, setup, spectral
 from wavemill.plans.catalog import (
-    ACCOUNT, FINE, HEADER_VALUES, LEVELS, LENGTHS, MONO, PCM, RESIDUE, _accounts, _as_stream, _classes, _rows64, query,
+    ACCOUNT, FINE, HEADER_VALUES, LEVELS, LENGTHS, MONO, PACKETS, PCM, RESIDUE, _accounts, _as_stream, _classes, _rows64, query,
 )
 from wavemill.plans.runtime import scratch, table
 from wavemill.sources import adapters as A
@@ -298,3 +298,28 @@ def q88_packed_spectrum(spark, sf_dir):
     """The Fourier transform of real samples in packed order."""
     rows = _rows64(spark, sf_dir).select("idx", F.posexplode(spectral.packed_spectrum(F.col("x"), 64)).alias("place", "y"))
     return rows.select("idx", "place", (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query(f"""WITH {PACKETS}, near AS (SELECT stream, seq, mode, CASE WHEN mode = 1 THEN 2048 ELSE 256 END AS bs, coalesce(lead(mode) OVER w, 1) AS following, coalesce(lag(mode) OVER w, 0) AS previous
+  FROM packets WINDOW w AS (PARTITION BY stream ORDER BY seq)),
+c AS (SELECT *, coalesce(sum((bs + CASE WHEN following = 1 THEN 2048 ELSE 256 END) // 4) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS centre FROM near),
+slots AS (SELECT DISTINCT stream, (size * 7 + seq * 13) % 40 AS q FROM packets)
+SELECT stream, seq, (CASE WHEN mode = 1 THEN 2 + (previous = 1 AND following = 1)::INT
+ELSE (NOT EXISTS (SELECT 1 FROM slots s WHERE s.stream = c.stream AND s.q >= trunc((centre - 128) / 64.0::DOUBLE) AND s.q < trunc((centre + 128) / 64.0::DOUBLE)))::INT END)::INT AS code FROM c""")
+def q89_transition_codes(spark, sf_dir):
+    """Codes of planned blocks from their neighbours and from transients near short ones."""
+    rows = A.packets(spark, sf_dir)
+    slots = rows.select("stream", F.pmod(F.col("size") * 7 + F.col("seq") * 13, F.lit(40)).alias("q"), F.lit(1).alias("slot"))
+    coded = schedule.transition_codes(schedule.plan(rows.select("stream", "seq", "mode")), slots)
+    return coded.select("stream", "seq", "code")
+
+
+@query(f"""WITH RECURSIVE {PCM}, x AS (SELECT user_id AS stream, event_id AS i, (sample / 32768.0::DOUBLE)::FLOAT AS x,
+row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM pcm),
+run(stream, i, k, x, y) AS (SELECT stream, i, k, x, x FROM x WHERE k = 1
+  UNION ALL SELECT n.stream, n.i, n.k, n.x, ((n.x - r.x)::FLOAT + (0.9921875::FLOAT * r.y)::FLOAT)::FLOAT FROM run r JOIN x n ON n.stream = r.stream AND n.k = r.k + 1)
+SELECT stream, i, greatest(-32768, least(32767, round_even(y::DOUBLE * 32767, 0)))::INT AS sample FROM run""")
+def q90_dc_quantized(spark, sf_dir):
+    """The high-pass with its output as 16-bit samples again."""
+    out = spectral.dc_filter(A.user_signal(spark, sf_dir), quantized=True)
+    return out.select("stream", "i", (F.col("y") * 32768).cast("int").alias("sample"))
