@@ -561,6 +561,9 @@ def test_runs_equal_single_texts(monkeypatch):
         want = [library.encode(t, add_special_tokens=False).ids for t in rows]
         assert got.to_pylist() == [*want, []]
         assert bpe._decoded(c, got).to_pylist() == [*(library.decode(ids, skip_special_tokens=False) for ids in want), ""]
+    alphabet = [chr(x) for x in [*range(0x250), 0x1680, 0x2003, 0x2028, 0x202F, 0x3000, 0xFEFF, 0x200B, 0x4E2D, 0x1F600, 0x301, 0x660, 0xB2]] + word + white
+    mixed = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    assert bpe._encoded(c, pa.array(mixed, pa.string())).to_pylist() == [e.ids for e in library.encode_batch(mixed, add_special_tokens=False)]
     # Should two fragments ever have one hash, each is encoded by itself.
     monkeypatch.setattr(bpe.textnp, "span_hashes", lambda data, begin, end, values: np.zeros(len(begin), np.uint64))
     assert bpe._encoded(c, pa.array(rows[:20])).to_pylist() == want[:20]
