@@ -17,24 +17,15 @@ def _order(stream: str, at: str) -> W:
     return W.partitionBy(stream).orderBy(at)
 
 
-def two_level(rows: DataFrame, stream: str, at: str, values: dict[str, tuple[Column, Column]], part: int = PART) -> DataFrame:
-    """``rows`` with running values over a stream's order, without a task that holds a stream.
+def _in_parts(rows: DataFrame, stream: str, at: str, part: int) -> tuple[DataFrame, W, W]:
+    """``rows`` with the part of the order that each is in and its place there, and windows over what is before a row in its part and before a part.
 
-    ``values`` names, for each column, an aggregate and its neutral value: max or sum of an expression over all rows before a row.
-    Parts of the order are summed first; a window over parts, one row each, gives what is before a part, and a window
-    within the part gives the rest.
+    A running value over a stream is then one within the part and one over parts, a row each, so no task holds a stream.
     """
     rows = rows.withColumn("_part", F.floor(F.col(at) / part).cast("bigint"))
-    inside = W.partitionBy(stream, "_part").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy(stream).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy(stream, "_part").agg(*(agg(v).alias(f"_s_{n}") for n, (agg, v) in values.items()))
-    sums = sums.select(stream, "_part", *(agg(f"_s_{n}").over(before).alias(f"_b_{n}") for n, (agg, _) in values.items()))
-    rows = rows.withColumns({f"_i_{n}": agg(v).over(inside) for n, (agg, v) in values.items()}).join(sums, [stream, "_part"])
-    for name, (agg, _) in values.items():
-        a, b = F.col(f"_b_{name}"), F.col(f"_i_{name}")
-        both = F.greatest(a, b) if agg is F.max else F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-        rows = rows.withColumn(name, both).drop(f"_b_{name}", f"_i_{name}")
-    return rows.drop("_part")
+    own = W.partitionBy(stream, "_part").orderBy(at)
+    rows = rows.withColumn("_k", F.row_number().over(own) - 1)
+    return rows, own, W.partitionBy(stream).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
 
 
 def plan(modes: DataFrame, stream: str = "stream", at: str = "seq", short: int = SHORT, long: int = LONG) -> DataFrame:
@@ -63,11 +54,16 @@ def transient_queue(flags: DataFrame, stream: str = "stream", at: str = "i", fla
 
 def history_counter(flags: DataFrame, stream: str = "stream", at: str = "i", flag: str = "flags", most: int = 24, part: int = PART) -> DataFrame:
     """``history``: quanta since the last reset (flag 4) before this one, at most ``most``."""
-    rows = two_level(flags, stream, at, {"_n": (F.sum, F.lit(1))}, part).withColumn("_n", F.coalesce("_n", F.lit(0)))
-    reset = F.when(F.col(flag).bitwiseAND(F.lit(4)) != 0, F.col("_n"))
-    rows = two_level(rows, stream, at, {"_reset": (F.max, reset)}, part)
-    count = F.when(F.col("_reset").isNull(), F.col("_n")).otherwise(F.col("_n") - F.col("_reset") - 1)
-    return rows.withColumn("history", F.least(F.lit(most), count).cast("int")).drop("_n", "_reset")
+    rows, own, before = _in_parts(flags, stream, at, part)
+    reset = F.when(F.col(flag).bitwiseAND(F.lit(4)) != 0, F.col("_k"))
+    rows = rows.withColumn("_in", F.max(reset).over(own.rowsBetween(W.unboundedPreceding, -1)))
+    parts = rows.groupBy(stream, "_part").agg(F.count("*").alias("_c"), F.max(reset).alias("_r"))
+    parts = parts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    parts = parts.select(stream, "_part", "_b", F.max(F.col("_r") + F.col("_b")).over(before).alias("_t"))
+    n, last = F.col("_b") + F.col("_k"), F.greatest(F.col("_in") + F.col("_b"), F.col("_t"))
+    count = F.when(last.isNull(), n).otherwise(n - last - 1)
+    out = rows.join(parts, [stream, "_part"]).withColumn("history", F.least(F.lit(most), count).cast("int"))
+    return out.select(*flags.columns, "history")
 
 
 def transition_code(modes: DataFrame, stream: str = "stream", at: str = "seq") -> DataFrame:
@@ -110,11 +106,16 @@ def leaky_peak(
     rows: DataFrame, decay: float, stream: str = "stream", at: str = "idx", value: str = "peak", carried: float | None = None, part: int = PART
 ) -> DataFrame:
     """``leaky``: a peak that sinks by ``decay`` a block until a higher one comes; ``carried`` is the peak before the first block."""
-    rows = two_level(rows, stream, at, {"_n": (F.sum, F.lit(1))}, part).withColumn("_n", F.coalesce("_n", F.lit(0)) + 1)
-    raised = F.col(value) + F.col("_n") * F.lit(float(decay))
-    rows = two_level(rows, stream, at, {"_top": (F.max, raised)}, part)
-    top = F.greatest(raised, F.col("_top"), F.lit(carried).cast("double")) if carried is not None else F.greatest(raised, F.col("_top"))
-    return rows.withColumn("leaky", top - F.col("_n") * F.lit(float(decay))).drop("_n", "_top")
+    placed, own, before = _in_parts(rows, stream, at, part)
+    raised = F.col(value) + (F.col("_k") + 1) * F.lit(float(decay))
+    placed = placed.withColumn("_in", F.max(raised).over(own))
+    parts = placed.groupBy(stream, "_part").agg(F.count("*").alias("_c"), F.max(raised).alias("_m"))
+    parts = parts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)) * F.lit(float(decay)))
+    parts = parts.select(stream, "_part", "_b", F.max(F.col("_m") + F.col("_b")).over(before).alias("_t"))
+    # Greatest skips nulls: there is no peak before the first part, nor a carried one unless it is given.
+    top = F.greatest(F.col("_in") + F.col("_b"), F.col("_t"), F.lit(carried).cast("double"))
+    out = placed.join(parts, [stream, "_part"]).withColumn("leaky", top - F.col("_b") - (F.col("_k") + 1) * F.lit(float(decay)))
+    return out.select(*rows.columns, "leaky")
 
 
 def prefix_sums(rows: DataFrame, values: dict[str, Column], stream: str = "idx", at: str = "bin") -> DataFrame:
