@@ -27,7 +27,7 @@ def sparse(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["q11_dc_filter"])
+@pytest.mark.parametrize("name", ["q11_dc_filter", "q90_dc_quantized"])
 def test_recurrence_agrees_with_sql_on_sparse_streams(spark, sparse, name):
     assert compare(catalog.QUERIES[name](spark, sparse), catalog.SQL[name], sparse) == ""
 
