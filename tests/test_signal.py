@@ -365,3 +365,28 @@ def test_floor_fit_by_fitted_lines():
         assert [n for _, n in got] == [n for _, n in want]
         assert max(abs(g - w) for (g, _), (w, _) in zip(got, want)) <= 1  # a rounding at a half
     assert needed > 20
+
+
+@pytest.fixture
+def scattered(spark):
+    """Streams whose places lie ever further apart, in no order, with every output worked out one at a time; Arrow batches of 7 rows."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for stream, n in enumerate([1, 6, 7, 8, 300]):
+        before = last = np.float32(0)
+        for k, sample in enumerate(rng.integers(-32768, 32768, n).tolist()):
+            x = np.float32(sample / 32768)
+            last, before = np.float32(np.float32(x - before) + np.float32(np.float32(0.9921875) * last)), x
+            rows.append((stream, 7 * k * k, sample))
+            want[stream, 7 * k * k] = float(last)
+    rng.shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    batch = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    yield spark.createDataFrame([tuple(map(int, r)) for r in rows], "stream bigint, i bigint, sample int").repartition(5), want
+    spark.conf.set(name, batch)
+
+
+def test_dc_filter_carries_its_state(scattered):
+    samples, want = scattered
+    assert {(r.stream, r.i): r.y for r in spectral.dc_filter(samples).collect()} == want
