@@ -390,3 +390,9 @@ def scattered(spark):
 def test_dc_filter_carries_its_state(scattered):
     samples, want = scattered
     assert {(r.stream, r.i): r.y for r in spectral.dc_filter(samples).collect()} == want
+
+
+def test_dc_filter_quantizes_the_carried_output(scattered):
+    samples, want = scattered
+    stored = {at: max(-32768, min(32767, round(y * 32767))) / 32768 for at, y in want.items()}
+    assert {(r.stream, r.i): r.y for r in spectral.dc_filter(samples, quantized=True).collect()} == stored
